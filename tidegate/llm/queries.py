@@ -10,20 +10,56 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidegate.llm.bpe import bpe_round_trip
 from tidegate.llm.common import read_table
 from tidegate.llm.exact_dedup import exact_dedup
+from tidegate.llm.lattice_lm import lattice_scores
+from tidegate.llm.packing import pack
+from tidegate.llm.qda import quality_scores
 from tidegate.llm.quality_rules import quality_rules
+from tidegate.llm.secrets import secret_scan
 from tidegate.llm.simhash import simhash_components
+from tidegate.llm.warc import archive_round_trip
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(read_table(spark, sf_dir, "documents"))
+
+
+def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_scores(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
@@ -39,9 +75,22 @@ FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
 """
 
 
+OP7_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+     w AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS whole FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = whole THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = whole THEN NULL ELSE whole END AS refers_to
+FROM w
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_quality_rules, op8_exact_dedup, op10_simhash)}
+    return {f.__name__: f for f in (
+        op2_best_fit_packing, op3_secret_scan, op4_lattice_lm, op5_bpe, op6_quality_rules,
+        op7_warc, op8_exact_dedup, op9_quality_classifier, op10_simhash,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op7_warc": OP7_SQL, "op8_exact_dedup": OP8_SQL}
