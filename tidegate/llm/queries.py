@@ -14,6 +14,7 @@ from tidegate.llm.bpe import bpe_round_trip
 from tidegate.llm.common import read_table
 from tidegate.llm.exact_dedup import exact_dedup
 from tidegate.llm.lattice_lm import lattice_scores
+from tidegate.llm.line_dedup import line_classes
 from tidegate.llm.packing import pack
 from tidegate.llm.qda import quality_scores
 from tidegate.llm.quality_rules import quality_rules
@@ -28,6 +29,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -87,7 +92,7 @@ FROM w
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_best_fit_packing, op3_secret_scan, op4_lattice_lm, op5_bpe, op6_quality_rules,
+        op1_line_dedup, op2_best_fit_packing, op3_secret_scan, op4_lattice_lm, op5_bpe, op6_quality_rules,
         op7_warc, op8_exact_dedup, op9_quality_classifier, op10_simhash,
     )}
 
