@@ -80,6 +80,27 @@ FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
 """
 
 
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+sizes(size, share) AS (VALUES (5, 0.15::DOUBLE), (6, 0.14::DOUBLE), (8, 0.12::DOUBLE), (10, 0.10::DOUBLE)),
+starts AS (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM d, sizes WHERE len(ws) >= size),
+windows AS (SELECT doc_id, size, i, array_to_string(ws[i:i + size - 1], ' ') AS w FROM starts),
+found AS (SELECT doc_id, size, i, count(*) OVER (PARTITION BY doc_id, size, w) AS n, row_number() OVER (PARTITION BY doc_id, size, w ORDER BY i) AS k FROM windows),
+twice AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM found WHERE size = 5 AND n > 1) GROUP BY doc_id),
+covered AS (SELECT DISTINCT doc_id, size, j FROM (SELECT doc_id, size, unnest(range(i, i + size)) AS j FROM found WHERE k > 1)),
+shares AS (SELECT c.doc_id, c.size, sum(length(word)) AS chars FROM covered c JOIN words ON words.doc_id = c.doc_id AND words.i = c.j GROUP BY c.doc_id, c.size),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM d),
+again AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY n) AS k FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT doc_id, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS chars FROM again WHERE k > 1 GROUP BY doc_id),
+counts AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(dup.chars, 0) AS dup_chars
+  FROM d LEFT JOIN twice ON d.doc_id = twice.doc_id LEFT JOIN dup ON d.doc_id = dup.doc_id),
+over AS (SELECT DISTINCT c.doc_id FROM shares s JOIN sizes ON s.size = sizes.size JOIN counts c ON c.doc_id = s.doc_id WHERE s.chars > share * word_chars)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR dup_chars > 0.2::DOUBLE * word_chars OR doc_id IN (SELECT doc_id FROM over)) AS kept FROM counts
+"""
+
 OP7_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
      w AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS whole FROM p)
@@ -98,4 +119,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op6_quality_rules": OP6_SQL, "op7_warc": OP7_SQL, "op8_exact_dedup": OP8_SQL}
