@@ -28,7 +28,7 @@ from tidegate.llm.common import blocks
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Pieces of up to so many bytes run side by side.
 SHORT = 64
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 BLOCK_CHARS = 2_000_000
 _NONE = np.int64(1) << 62
 
