@@ -190,16 +190,24 @@ def merge_many(pieces: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
 
 
 class Table(dict):
-    """Ids by string, emptied when full; what is missing is asked for in bulk."""
+    """Ids by string, in two generations: when the young one is full it becomes the old one, from which what is asked for again comes back.
+
+    What is in neither is encoded in bulk.
+    """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes | None]], most: int = CACHE_ENTRIES) -> None:
         super().__init__()
         self.encode, self.most = encode, most
+        self.old: dict[str, bytes | None] = {}
 
     def fill(self, keys: set[str]) -> None:
-        if len(self) > self.most:
+        if len(self) > self.most // 2:
+            self.old = dict(self)
             self.clear()
         missing = [k for k in keys if k not in self]
+        old = self.old
+        self.update((k, old[k]) for k in missing if k in old)
+        missing = [k for k in missing if k not in old]
         if missing:
             self.update(zip(missing, self.encode(missing)))
 
