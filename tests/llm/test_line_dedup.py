@@ -110,3 +110,18 @@ def test_drop_lines(spark):
     rows = [(1, "the first long line of this text\nshort"), (2, "The first long line of this text\nanother line that is kept here"), (3, None)]
     out = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     assert rows_of(out) == [(1, "the first long line of this text\nshort"), (2, "another line that is kept here"), (3, "")]
+
+
+def test_every_line_of_every_document_has_its_class(spark, tmp_path):
+    from tidegate.llm.queries import op1_line_dedup
+
+    boiler, near = "a boilerplate line in many documents", "A boilerplate line in many documents"
+    rows = [(k, f"{boiler}\n \nonly in document {k * 1111}{k * 7777}") for k in (5, 3, 4)] + [(6, f"{near}\n{near}"), (None, boiler), (7, None), (3, f"{boiler}\n{boiler}")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = op1_line_dedup(spark, str(tmp_path)).collect()
+    facts = {r[1]: r[2:] for r in brute(rows)}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = [(d, k, sha(x), *facts[sha(x)][:-1]) for d, t in rows for k, x in enumerate((t or "").split("\n")) if x.strip()]
+    assert sorted((tuple(r)[:-1] for r in got), key=repr) == sorted(want, key=repr)
+    kept = sorted((r["doc_id"], r["line_no"], r["line_sha256"]) for r in got if r["kept"])
+    assert kept == sorted([(3, 0, sha(boiler)), *((k, 2, sha(f"only in document {k * 1111}{k * 7777}")) for k in (3, 4, 5))])

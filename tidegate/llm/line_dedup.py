@@ -354,6 +354,21 @@ def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     )
 
 
+def line_members(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """A row for each line of each row of ``docs``: doc_id, line_no (from 0), line_sha256, n_chars, n_rows, n_links, class_doc_id, class_sha256, kept.
+
+    Only a representative's first place is kept: its first document, there (ids may repeat) the first line, then the first text.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    each = texts.select("doc_id", "row", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    each = each.filter(F.octet_length(F.regexp_replace("line", r"[ \t\x0B\x0C\r]", "")) > 0)
+    members = materialise(each.select("doc_id", "row", "text_key", "line_no", F.unhex(F.sha2(F.col("line").cast("binary"), 256)).alias("sha")), "lines-members")
+    first = members.groupBy("sha").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "line_no", "text_key", "row")).alias("first"))
+    facts = line_classes(docs, edits).drop("doc_id").withColumn("sha", F.unhex("line_sha256")).join(first, "sha")
+    place = (F.col("row") == F.col("first.row")) & (F.col("line_no") == F.col("first.line_no"))
+    return members.join(facts, "sha").select("doc_id", "line_no", "line_sha256", "n_chars", "n_rows", "n_links", "class_doc_id", "class_sha256", (F.col("kept") & place).alias("kept"))
+
+
 def drop_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """doc_id and text of every row without the lines that another represents; a representative stays where it first comes."""
     gone = line_classes(docs, edits).filter("NOT kept").select(F.col("line_sha256").alias("__sha"))

@@ -14,7 +14,7 @@ from tidegate.llm.bpe import bpe_round_trip
 from tidegate.llm.common import read_table
 from tidegate.llm.exact_dedup import exact_dedup
 from tidegate.llm.lattice_lm import lattice_scores
-from tidegate.llm.line_dedup import line_classes
+from tidegate.llm.line_dedup import line_members
 from tidegate.llm.packing import pack
 from tidegate.llm.qda import quality_scores
 from tidegate.llm.quality_rules import quality_rules
@@ -30,7 +30,7 @@ def vocabulary(name: str) -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_classes(read_table(spark, sf_dir, "documents"))
+    return line_members(read_table(spark, sf_dir, "documents"))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
