@@ -125,3 +125,10 @@ def test_every_line_of_every_document_has_its_class(spark, tmp_path):
     assert sorted((tuple(r)[:-1] for r in got), key=repr) == sorted(want, key=repr)
     kept = sorted((r["doc_id"], r["line_no"], r["line_sha256"]) for r in got if r["kept"])
     assert kept == sorted([(3, 0, sha(boiler)), *((k, 2, sha(f"only in document {k * 1111}{k * 7777}")) for k in (3, 4, 5))])
+
+
+def test_drop_lines_keeps_one_of_equal_lines(spark):
+    line = "a boilerplate line in many documents"
+    rows = [(2, f"{line}\nsecond own line"), (1, f"first\n{line}\n\n{line}"), (3, line), (None, line)]
+    out = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    assert rows_of(out) == sorted([(2, "second own line"), (1, f"first\n{line}\n"), (3, ""), (None, "")], key=repr)

@@ -374,6 +374,10 @@ def drop_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     gone = line_classes(docs, edits).filter("NOT kept").select(F.col("line_sha256").alias("__sha"))
     rows = docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = materialise(rows, "lines-rows")
-    each = rows.select("__row", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).withColumn("__sha", F.sha2(F.col("line").cast("binary"), 256))
-    left = each.join(gone, "__sha", "left_anti").groupBy("__row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("__text"))
+    each = rows.select("__row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).withColumn("__sha", F.sha2(F.col("line").cast("binary"), 256))
+    worded = F.octet_length(F.regexp_replace("line", r"[ \t\x0B\x0C\r]", "")) > 0
+    place = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").cast("long").alias("doc_id"), "at", "__row")
+    first = each.filter(worded).groupBy("__sha").agg(F.min(place).alias("__first"))
+    here = (F.col("__row") == F.col("__first.__row")) & (F.col("at") == F.col("__first.at"))
+    left = each.join(gone, "__sha", "left_anti").join(first, "__sha", "left").filter(~worded | here).groupBy("__row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("__text"))
     return rows.join(left, "__row", "left").select("doc_id", F.coalesce("__text", F.lit("")).alias("text"))
