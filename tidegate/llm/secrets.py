@@ -9,13 +9,16 @@ Base spans, leftmost and without overlap for each kind, offsets in code points,
 Weak candidates are access identifiers (short key ids, ``client_id = ...``), secrets (tokens of 20
 characters or more that mix upper case, lower case and digits) and endpoints (URLs). They are
 reported, as ``link_id``, ``link_secret`` and ``link_endpoint``, only where complementary parts lie
-within ``SCOPE`` code points: an identifier beside a secret, a secret beside an identifier, an
-endpoint beside both. Base spans count as parts too, and always stay. The interval join is a sweep:
-parts of a text in order, each with the nearest end before it and the nearest start after it of every
-role, so parts in one scope never pair up one by one.
-
-Null text counts as empty: no spans. Repeated rows are scanned alike; an empty table gives an empty
-result; extra columns are ignored.
+within ``SCOPE`` code points before or after them, without overlap: an identifier beside a secret, a
+secret beside an identifier, an endpoint beside both. An identifier's own value is thus no secret
+beside it. Base spans count as parts too, and always stay; a weak one inside a base span is not
+reported again. The interval join is a sweep over the starts and ends of a text's parts: each start
+has the nearest end of every role at or before it, each end the nearest start at or after it, so parts
+in one scope never pair up one by one, and the work grows with the parts of a text.
+
+Null text counts as empty: no spans. A very long text is scanned whole, and its spans are listed
+whole. Spans that start together come in the order of ``KINDS``. Repeated rows are scanned alike; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -86,22 +89,30 @@ def _spans(rows: DataFrame) -> DataFrame:
     # What is too short keeps its row, so a text without spans still has one.
     each = each.select("row", F.when(F.col("good"), F.col("kind")).alias("kind"), "start", "end")
 
-    # The roles of the parts: base spans are identifiers or secrets beside the weak ones.
+    # A weak part inside a base span says nothing new.
+    earlier = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max(F.when(F.col("kind") < len(BASE), F.col("end"))).over(earlier)
+    each = each.withColumn("inside", (F.col("kind") >= len(BASE)) & F.coalesce(reach >= F.col("end"), F.lit(False)))
+
+    # Starts (1) and ends (0) on one line; at one place ends come first, as parts may touch.
+    ends = each.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("place", F.when(F.col("side") == 0, F.col("end")).otherwise(F.col("start")))
+    upward = Window.partitionBy("row").orderBy("place", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    downward = Window.partitionBy("row").orderBy(F.desc("place"), F.desc("side")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Base spans are identifiers or secrets beside the weak ones.
     roles = {"id": F.col("kind").isin(1, 3), "secret": F.col("kind").isin(0, 2, 4)}
-    before = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(1, Window.unboundedFollowing)
-    near = {}
-    for name, is_role in roles.items():
-        each = each.withColumn(f"{name}_before", F.max(F.when(is_role, F.col("end"))).over(before))
-        each = each.withColumn(f"{name}_after", F.min(F.when(is_role, F.col("start"))).over(after))
-        near[name] = F.coalesce(F.col("start") - F.col(f"{name}_before") <= SCOPE, F.lit(False)) | F.coalesce(F.col(f"{name}_after") - F.col("end") <= SCOPE, F.lit(False))
+    sides = {n: F.max(F.when(is_role & (F.col("side") == 0), F.col("place"))).over(upward) for n, is_role in roles.items()}
+    ends = ends.select("*", *(d.alias(f"{n}_before") for n, d in sides.items()))
+    sides = {n: F.min(F.when(is_role & (F.col("side") == 1), F.col("place"))).over(downward) for n, is_role in roles.items()}
+    ends = ends.select("*", *(d.alias(f"{n}_after") for n, d in sides.items()))
+    near = {n: F.when(F.col("side") == 1, F.col("place") - F.col(f"{n}_before") <= SCOPE).otherwise(F.col(f"{n}_after") - F.col("place") <= SCOPE) for n in roles}
+    spans = ends.groupBy("row", "kind", "start", "end").agg(F.max("inside").alias("inside"), *(F.coalesce(F.max(x), F.lit(False)).alias(f"near_{n}") for n, x in near.items()))
     linked = (
-        F.when(F.col("kind") == 3, near["secret"])
-        .when(F.col("kind") == 4, near["id"])
-        .when(F.col("kind") == 5, near["id"] & near["secret"])
+        F.when(F.col("kind") == 3, F.col("near_secret"))
+        .when(F.col("kind") == 4, F.col("near_id"))
+        .when(F.col("kind") == 5, F.col("near_id") & F.col("near_secret"))
         .otherwise(True)
-    )
-    return each.withColumn("linked", linked).select("row", F.when(F.col("linked"), F.col("kind")).alias("kind"), "start", "end")
+    ) & ~F.coalesce("inside", F.lit(False))
+    return spans.select("row", F.when(linked, F.col("kind")).alias("kind"), "start", "end")
 
 
 def _listed(spans: Column) -> Column:
