@@ -4,9 +4,16 @@ Texts are equal when identical after lower-casing A-Z only; null counts as empty
 row with the largest ``doc_id`` stays (a null id sorts below all others; of rows that repeat an id,
 one stays). An empty table gives an empty result; other columns are ignored, whatever their names.
 
-Each task first runs its own rows through an index, so a group of copies leaves a task as one row
-however hot it is. Those rows are dealt by digest; each shard indexes them, a filter hit is verified
-against the digest and length kept in the bucket, and an overflow grows the filter from its keys.
+* Each task first runs its own rows through an index, so a group of copies leaves a task as one row
+  however hot it is. Those rows are dealt by digest, and the index of each shard holds one live digest
+  for each text: a filter hit is verified against the digest and length kept in the bucket, a larger
+  id deletes the live one and takes its place, and an overflow grows the filter from the stored keys.
+* What a shard's index holds in the end is the result; the rows that it turned down find it by digest.
+  Groups with over a thousandth of all rows, a thousand at most, go to the rows instead.
+* The texts of all groups that the index found are then bucketed by digest and compared as such; a
+  group whose texts differ (a SHA-256 collision) stops the job, so no text is ever lost to one.
+
+A very long text is a digest like any other; only texts that have copies move, for the comparison.
 """
 
 from __future__ import annotations
@@ -15,16 +22,19 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.llm.common import materialise, partitions_for, text_bytes
 
 SLOTS = 4
 MAX_KICKS = 200
-#: Live digests that one index may hold before a task passes on what it has.
-LIVE_PER_INDEX = 400_000
+#: Live digests after which a task passes on what it has, to the shards; theirs hold all that they are dealt.
+LIVE_PER_TASK = 400_000
 ROWS_PER_SHARD = 200_000
+#: A group with over one in so many rows is hot; there are no more than this many.
+HOT = 1000
 
 
 class CuckooIndex:
@@ -114,33 +124,46 @@ class CuckooIndex:
             buckets *= 2
 
 
-def merge_groups(rows: Iterable[tuple[bytes, int, int | None, int]]) -> Iterator[tuple[bytes, int, int | None, int]]:
-    """Groups (digest, length, largest id, count) from partial ones; one may come twice when the index is passed on."""
+#: best, at, raw: id, row number and text hash of the row that stays; same: rows with its id and text; n: all rows.
+GROUPS = "digest binary, length long, best long, at long, raw long, same long, n long"
+_LOW = -(1 << 63)
+
+
+def _rank(best: int | None, at: int, raw: int) -> tuple[int, int, int]:
+    """The row that stays has the highest: the largest id, the smallest text hash, the first row."""
+    return (_LOW - 1 if best is None else best, -raw, -at)
+
+
+def index_groups(rows: Iterable[tuple], most: int | None = None) -> Iterator[tuple]:
+    """Rows as in ``GROUPS``, one for each live digest; with ``most``, an index that full is passed on first."""
     index = CuckooIndex()
-    for digest, length, best, count in rows:
+    for digest, length, best, at, raw, same, n in rows:
         key = digest + length.to_bytes(8, "little")
         record = index.find(key)
         if record is None:
-            if len(index) >= LIVE_PER_INDEX:
+            if most is not None and len(index) >= most:
                 yield from _live(index)
                 index = CuckooIndex()
-            index.insert(key, (best, count))
+            index.insert(key, (best, at, raw, same, n))
+            continue
+        best2, at2, raw2, same2, n2 = record[1]
+        if best == best2 and raw == raw2:
+            record[1] = (best, min(at, at2), raw, same + same2, n + n2)
+        elif _rank(best, at, raw) > _rank(best2, at2, raw2):
+            index.delete(key)
+            index.insert(key, (best, at, raw, same, n + n2))
         else:
-            old, n = record[1]
-            record[1] = (old if best is None or (old is not None and old >= best) else best, n + count)
+            record[1] = (best2, at2, raw2, same2, n + n2)
     yield from _live(index)
 
 
-def _live(index: CuckooIndex) -> Iterator[tuple[bytes, int, int | None, int]]:
-    for key, (best, count) in index.records.values():
-        yield key[:-8], int.from_bytes(key[-8:], "little"), best, count
-
-
-GROUPS = "digest binary, length long, best long, n long"
+def _live(index: CuckooIndex) -> Iterator[tuple]:
+    for key, payload in index.records.values():
+        yield key[:-8], int.from_bytes(key[-8:], "little"), *payload
 
 
 def _to_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("digest", pa.binary()), ("length", pa.int64()), ("best", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("digest", pa.binary()), *((c, pa.int64()) for c in ("length", "best", "at", "raw", "same", "n"))])
     held: list[tuple] = []
     for row in rows:
         held.append(row)
@@ -152,60 +175,100 @@ def _to_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _to_batches(merge_groups((d, n, i, 1) for b in batches for d, n, i in zip(*(b.column(k).to_pylist() for k in range(3)))))
+    each = ((*row, 1, 1) for b in batches for row in zip(*(b.column(k).to_pylist() for k in range(5))))
+    yield from _to_batches(index_groups(each, LIVE_PER_TASK))
 
 
 def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _to_batches(merge_groups(row for b in batches for row in zip(*(b.column(k).to_pylist() for k in range(4)))))
+    yield from _to_batches(index_groups(row for b in batches for row in zip(*(b.column(k).to_pylist() for k in range(7)))))
+
+
+DIGESTS = "digest binary, length long, doc_id long, at long, raw long"
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at = TaskContext.get().partitionId() << 36
     for batch in batches:
-        texts = [t.lower() for t in batch.column(1).to_pylist()]  # bytes.lower() changes A-Z only
+        texts = [t.lower() for t in batch.column(2).to_pylist()]  # bytes.lower() changes A-Z only
         yield pa.RecordBatch.from_arrays(
-            [pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), batch.column(0)],
-            names=["digest", "length", "doc_id"],
+            [pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), batch.column(0), pa.array(range(at, at + len(texts)), pa.int64()), batch.column(1)],
+            names=["digest", "length", "doc_id", "at", "raw"],
         )
+        at += len(texts)
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """digest, length, doc_id of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(_digests, "digest binary, length long, doc_id long")
+    """digest, length, doc_id, at (a number), raw (a hash of the text as it is) of every row, in the shared folder."""
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_bytes()).alias("raw"), text_bytes().alias("text")).mapInArrow(_digests, DIGESTS)
+    return materialise(made, "exact-digests")
 
 
 def groups(keyed: DataFrame) -> DataFrame:
-    """One row a distinct text: digest, length, largest id, number of rows. ``keyed`` comes from ``digests``."""
+    """One row a distinct text, as in ``GROUPS``: what the shards' indexes hold. ``keyed`` comes from ``digests``."""
     partial = materialise(keyed.mapInArrow(_partial, GROUPS), "exact-partial")
     shards = partitions_for(keyed.sparkSession, partial.count(), ROWS_PER_SHARD)
-    merged = partial.repartition(shards, "digest").mapInArrow(_shard, GROUPS)
-    # A shard larger than its index passes groups on in parts; this sum of few rows joins those.
-    return materialise(merged, "exact-groups").groupBy("digest", "length").agg(F.max("best").alias("best"), F.sum("n").alias("n"))
+    return materialise(partial.repartition(shards, "digest").mapInArrow(_shard, GROUPS), "exact-groups")
+
+
+def _members(keyed: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` in the groups ``repeated``, with what the index holds of them."""
+    hot = repeated.filter(F.col("n") > keyed.count() // HOT)
+    kept = repeated.select("digest", "best", F.col("at").alias("best_at"), F.col("raw").alias("best_raw"), "same", "n")
+    if hot.isEmpty():
+        return keyed.join(kept, "digest")
+    hot = F.broadcast(kept.join(hot.select("digest"), "digest", "left_semi"))  # at most HOT rows
+    return keyed.join(hot, "digest").unionByName(keyed.join(hot, "digest", "left_anti").join(kept, "digest"))
+
+
+def _lowered(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def verify_groups(docs: DataFrame, members: DataFrame) -> None:
+    """Compare the texts of each group that the index found; raises where they differ."""
+    wanted = members.select("raw", "digest").distinct()
+    texts = docs.select(F.xxhash64(text_bytes()).alias("raw"), "text").join(wanted, "raw").select("digest", _lowered(F.col("text")).alias("text"))
+    # A least and a greatest text a group: summed up before the shuffle, however hot the group.
+    apart = texts.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).filter("a <> b")
+    found = apart.select(F.hex("digest").alias("digest")).first()
+    if found is not None:
+        raise ValueError(f"different texts have the digest {found['digest'].lower()}")
+
+
+def _found(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The digests of all rows, the groups, and the members of those with copies, verified."""
+    keyed = digests(docs)
+    found = groups(keyed)
+    members = materialise(_members(keyed, found.filter("n > 1")), "exact-members")
+    verify_groups(docs, members)
+    return keyed, found, members
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for every row of ``docs``."""
-    keyed = materialise(digests(docs), "exact-digests")
-    found = materialise(groups(keyed), "exact-found")
-    repeats = keyed.groupBy("digest", "length", "doc_id").agg(F.count("*").alias("copies"))
-    rows = repeats.join(found, ["digest", "length"])
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return rows.select(
-        "doc_id",
-        F.col("best").alias("keep_id"),
-        F.col("n").alias("group_size"),
-        (F.col("doc_id").eqNullSafe(F.col("best")) & (F.col("copy") == 1)).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    _, found, members = _found(docs)
+    sha = F.lower(F.hex("digest")).alias("text_sha256")
+    alone = found.filter("n = 1").select(F.col("best").alias("doc_id"), F.col("best").alias("keep_id"), F.col("n").alias("group_size"), F.lit(True).alias("kept"), sha)
+    return alone.unionByName(members.select("doc_id", F.col("best").alias("keep_id"), F.col("n").alias("group_size"), (F.col("at") == F.col("best_at")).alias("kept"), sha))
 
 
 def keep_exact(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one of each group of equal texts."""
-    from pyspark.sql import Window
-
-    found = materialise(groups(materialise(digests(docs), "exact-digests")), "exact-found")
-    keys = found.select(F.col("best").alias("__tg_best"), F.col("digest").alias("__tg_digest"))
-    lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = docs.withColumn("__tg_key", F.unhex(F.sha2(lowered.cast("binary"), 256)))
-    kept = rows.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("__tg_best")) & (F.col("__tg_key") == F.col("__tg_digest")))
-    one = Window.partitionBy("__tg_best", "__tg_key").orderBy(F.lit(0))
-    return kept.withColumn("__tg_row", F.row_number().over(one)).filter("__tg_row = 1").select(*[docs[c] for c in docs.columns])
+    """The rows of ``docs`` that stay, with all their columns: one of each group of equal texts.
+
+    Rows with the largest id can differ in case; the one with the smallest text hash stays. Of rows
+    alike in id and text, the one with the smallest hash of all columns stays.
+    """
+    _, _, members = _found(docs)
+    stays = F.col("doc_id").eqNullSafe(F.col("best")) & (F.col("raw") == F.col("best_raw"))
+    pair = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "raw").alias("__tg_key")
+    gone = materialise(members.filter(~stays).select(pair).distinct(), "exact-gone")
+    again = materialise(members.filter(stays & (F.col("same") > 1)).select(pair).distinct(), "exact-again")
+    doc_id = F.col("doc_id").cast("long")
+    keyed = docs.withColumn("__tg_key", F.struct(doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.xxhash64(text_bytes()).alias("raw")))
+    rows = keyed.join(gone, "__tg_key", "left_anti")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    if again.isEmpty():
+        return rows.select(*names)
+    one = Window.partitionBy("__tg_key").orderBy(F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() != "map"]))
+    twice = rows.join(again, "__tg_key", "left_semi").withColumn("__tg_row", F.row_number().over(one)).filter("__tg_row = 1")
+    return rows.join(again, "__tg_key", "left_anti").select(*names).unionByName(twice.select(*names))
