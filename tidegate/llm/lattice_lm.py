@@ -3,13 +3,16 @@
 The model is a unigram model over the pieces of an existing vocabulary file and an end piece. The
 probability of a text is the sum over all its segmentations into pieces; pieces don't cross the start
 of a word, so it is a product over words of lattice sums, each a forward recursion in log space.
-The vocabulary's own scores (ranks) give the first piece weights, by Zipf's law; expected counts over
-the segmentations of all training words, a forward-backward pass each round, replace them.
+The vocabulary's existing scores are the model's own share of each weight: log probabilities as they
+are, merge ranks (whole numbers) by Zipf's law. Expected counts over the segmentations of all training
+words, a forward-backward pass each round, give the rest, so that a piece keeps ``EXISTING`` of its
+existing probability however much text there is.
 
 Texts are lower-cased in A-Z and split into words ``[^\\x20\\x09-\\x0D]+``, then one end. Rows whose
 crc32(doc_id as text) mod 7 is 2 are held out; a null id counts as an empty text there, a null text
-as an empty text. Repeated rows count and score each; an empty table gives an empty result; extra
-columns are ignored.
+as an empty text. Bytes that aren't UTF-8 are read as U+FFFD in the lattice. A very long text is a block
+of its own, and a very long word a lattice of its own. Repeated rows count and score each; an empty
+table gives an empty result; extra columns are ignored.
 
 Tasks turn documents into blocks of word numbers with a vocabulary for each block. Words are summed,
 valued and joined back over the cluster block by block, so neither documents nor the word table meet
@@ -30,13 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import materialise, text_bytes
+from tidegate.llm.common import materialise, partitions_for, text_bytes
 
 HOLD_OUT, FOLDS = 2, 7
 BLOCK_BYTES = 12_000_000
 EM_ROUNDS = 2
-#: Added to the expected count of every piece.
-PRIOR = 0.1
+#: The share of the existing scores in the weight of every piece.
+EXISTING = 0.1
+#: Rows of the word tables that a task is dealt.
+WORDS_PER_TASK = 1_000_000
 #: Words that a numpy lattice holds side by side.
 ROWS = 4096
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -57,7 +62,7 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
         self.byte_of: dict[int, int] = {}
-        names, numbers, ranks = [], [], []
+        names, numbers, scores = [], [], []
         for i in range(size):
             if model.is_byte(i):
                 self.byte_of[int(model.id_to_piece(i)[3:-1], 16)] = len(numbers)
@@ -66,13 +71,12 @@ class Pieces:
             else:
                 names.append((model.id_to_piece(i), len(numbers)))
             numbers.append(i)
-            ranks.append(model.get_score(i))
+            scores.append(model.get_score(i))
         #: The end piece comes last.
         self.end, self.size = len(numbers), len(numbers) + 1
         self.longest = max(len(s) for s, _ in names)
-        place = np.argsort(np.argsort(-np.array([*ranks, 0.0]), kind="stable"), kind="stable")
-        weight = 1.0 / (place + 2.0)
-        self.prior = np.log(weight / weight.sum())
+        #: Log probabilities by the existing scores.
+        self.prior = existing_weights(np.array(scores))
         hashes = np.array([_hash(s) for s, _ in names], np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.place = hashes[order], np.array([p for _, p in names])[order]
@@ -89,6 +93,17 @@ class Pieces:
         return out
 
 
+def existing_weights(scores: np.ndarray) -> np.ndarray:
+    """Log probabilities of the pieces, and of the end piece, which is as likely as the likeliest of them.
+
+    Whole numbers are the ranks of a merge vocabulary, 0, -1, ...: rank r weighs 1 / (r + 2).
+    """
+    logs = -np.log(2.0 - scores) if (scores == np.round(scores)).all() else scores
+    logs = np.append(logs, logs.max())
+    top = logs.max()
+    return logs - top - np.log(np.exp(logs - top).sum())
+
+
 def _finish(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * _BASE
 
@@ -255,7 +270,7 @@ def _expected_rows(batches: Iterator[pa.RecordBatch], path: str, weights: np.nda
     total = np.zeros(pieces.size)
     for batch in batches:
         times = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
-        marked = [_START + w.decode() for w in batch.column(0).to_pylist()]
+        marked = [_START + w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
         for at in _by_length(marked) if marked else ():
             Lattice([marked[k] for k in at], pieces, weights).expected(times[at], total)
     some = np.flatnonzero(total)
@@ -265,7 +280,7 @@ def _expected_rows(batches: Iterator[pa.RecordBatch], path: str, weights: np.nda
 def _value_rows(batches: Iterator[pa.RecordBatch], path: str, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
     pieces = load(path)
     for batch in batches:
-        values = word_scores([w.decode() for w in batch.column(0).to_pylist()], pieces, weights)
+        values = word_scores([w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()], pieces, weights)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values)], names=["word", "c", "value"])
 
 
@@ -276,14 +291,21 @@ def train(words: DataFrame, train_docs: int, path: str, rounds: int = EM_ROUNDS)
     seen = words.filter("c > 0").select("word", "c")
     for _ in range(rounds):
         parts = seen.mapInArrow(lambda it, w=weights: _expected_rows(it, path, w), "piece long, expected double")
-        total = np.full(pieces.size, PRIOR)
+        total = np.zeros(pieces.size)
         for row in parts.groupBy("piece").agg(F.sum("expected").alias("expected")).collect():  # as many rows as the file has pieces, at most
             total[row["piece"]] += row["expected"]
         total[pieces.end] += train_docs
-        weights = np.log(total / total.sum())
+        weights = mixed(pieces.prior, total)
     return weights
 
 
+def mixed(prior: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Log weights: EXISTING of the existing probabilities, the rest by the expected counts."""
+    if not total.sum():
+        return prior
+    return np.log(EXISTING * np.exp(prior) + (1 - EXISTING) * total / total.sum())
+
+
 def _score_block(block: pa.Table, values: pa.Table, facts: dict) -> pa.Table:
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
@@ -315,14 +337,22 @@ def lattice_scores(docs: DataFrame, path: str, rounds: int = EM_ROUNDS) -> DataF
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     held = materialise(texts.mapInArrow(_block_rows, BLOCKS), "lattice-blocks")
     each = held.select("block", F.posexplode("words").alias("at", "w")).select("block", "at", F.col("w.word").alias("word"), F.col("w.n").alias("n"))
-    words = materialise(each.groupBy("word").agg(F.sum("n").alias("c")), "lattice-words")
-    ends = held.agg(F.sum("train_docs")).first()[0] or 0
+    sums = held.agg(F.sum("train_docs").alias("ends"), F.sum(F.size("words")).alias("rows")).first()
+    ends = sums["ends"] or 0
+    usual = partitions_for(docs.sparkSession, 0, WORDS_PER_TASK)
+    tasks = partitions_for(docs.sparkSession, sums["rows"] or 0, WORDS_PER_TASK)
+
+    def dealt(df: DataFrame, key: str) -> DataFrame:
+        """By key, to more tasks than a shuffle has where that many rows need it."""
+        return df.repartition(tasks, key) if tasks > usual else df
+
+    words = materialise(dealt(each, "word").groupBy("word").agg(F.sum("n").alias("c")), "lattice-words")
     of_words = words.agg(F.sum("c").alias("tokens"), F.count(F.when(F.col("c") > 0, 1)).alias("types")).first()
     weights = train(words, ends, path, rounds)
     facts = {"tokens": (of_words["tokens"] or 0) + ends, "types": of_words["types"] + (ends > 0), "ends": ends, "end_weight": float(weights[-1])}
     valued = words.mapInArrow(lambda it: _value_rows(it, path, weights), "word binary, c long, value double")
-    back = each.drop("n").join(valued, "word").select(F.col("block").alias("of"), "at", "c", "value")
-    return held.select("block", "ids", "times", "docs").groupBy("block").cogroup(back.groupBy("of")).applyInArrow(
+    back = dealt(each.drop("n"), "word").join(dealt(valued, "word"), "word").select(F.col("block").alias("of"), "at", "c", "value")
+    return dealt(held.select("block", "ids", "times", "docs"), "block").groupBy("block").cogroup(dealt(back, "of").groupBy("of")).applyInArrow(
         lambda block, values: _score_block(block, values, facts),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
