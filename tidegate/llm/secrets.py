@@ -89,23 +89,21 @@ def _spans(rows: DataFrame) -> DataFrame:
     # What is too short keeps its row, so a text without spans still has one.
     each = each.select("row", F.when(F.col("good"), F.col("kind")).alias("kind"), "start", "end")
 
-    # A weak part inside a base span says nothing new.
-    earlier = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max(F.when(F.col("kind") < len(BASE), F.col("end"))).over(earlier)
-    each = each.withColumn("inside", (F.col("kind") >= len(BASE)) & F.coalesce(reach >= F.col("end"), F.lit(False)))
-
     # Starts (1) and ends (0) on one line; at one place ends come first, as parts may touch.
     ends = each.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("place", F.when(F.col("side") == 0, F.col("end")).otherwise(F.col("start")))
-    upward = Window.partitionBy("row").orderBy("place", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upward = Window.partitionBy("row").orderBy("place", "side", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     downward = Window.partitionBy("row").orderBy(F.desc("place"), F.desc("side")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # Base spans are identifiers or secrets beside the weak ones.
     roles = {"id": F.col("kind").isin(1, 3), "secret": F.col("kind").isin(0, 2, 4)}
     sides = {n: F.max(F.when(is_role & (F.col("side") == 0), F.col("place"))).over(upward) for n, is_role in roles.items()}
-    ends = ends.select("*", *(d.alias(f"{n}_before") for n, d in sides.items()))
+    reach = F.max(F.when((F.col("side") == 1) & (F.col("kind") < len(BASE)), F.col("end"))).over(upward)
+    ends = ends.select("*", reach.alias("reach"), *(d.alias(f"{n}_before") for n, d in sides.items()))
     sides = {n: F.min(F.when(is_role & (F.col("side") == 1), F.col("place"))).over(downward) for n, is_role in roles.items()}
     ends = ends.select("*", *(d.alias(f"{n}_after") for n, d in sides.items()))
     near = {n: F.when(F.col("side") == 1, F.col("place") - F.col(f"{n}_before") <= SCOPE).otherwise(F.col(f"{n}_after") - F.col("place") <= SCOPE) for n in roles}
-    spans = ends.groupBy("row", "kind", "start", "end").agg(F.max("inside").alias("inside"), *(F.coalesce(F.max(x), F.lit(False)).alias(f"near_{n}") for n, x in near.items()))
+    # A weak part inside a base span says nothing new.
+    inside = F.max((F.col("side") == 1) & (F.col("kind") >= len(BASE)) & F.coalesce(F.col("reach") >= F.col("end"), F.lit(False)))
+    spans = ends.groupBy("row", "kind", "start", "end").agg(inside.alias("inside"), *(F.coalesce(F.max(x), F.lit(False)).alias(f"near_{n}") for n, x in near.items()))
     linked = (
         F.when(F.col("kind") == 3, F.col("near_secret"))
         .when(F.col("kind") == 4, F.col("near_id"))
