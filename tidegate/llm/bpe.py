@@ -28,7 +28,9 @@ from tidegate.llm.common import blocks
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Pieces of up to so many bytes run side by side.
 SHORT = 64
-CACHE_ENTRIES = 400_000
+#: Bytes of strings and ids that a table keeps, and those of an entry beside its characters.
+CACHE_BYTES = 100_000_000
+ENTRY_BYTES = 200
 BLOCK_CHARS = 2_000_000
 _NONE = np.int64(1) << 62
 
@@ -192,24 +194,31 @@ def merge_many(pieces: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
 class Table(dict):
     """Ids by string, in two generations: when the young one is full it becomes the old one, from which what is asked for again comes back.
 
-    What is in neither is encoded in bulk.
+    What is in neither is encoded in bulk. A generation is full at half of ``most`` bytes, by an estimate
+    of its strings and ids, so long strings don't fill the memory; those of one call are held in any case.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes | None]], most: int = CACHE_ENTRIES) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[bytes | None]], most: int = CACHE_BYTES) -> None:
         super().__init__()
         self.encode, self.most = encode, most
         self.old: dict[str, bytes | None] = {}
+        self.bytes = 0
 
     def fill(self, keys: set[str]) -> None:
-        if len(self) > self.most // 2:
+        if self.bytes > self.most // 2:
             self.old = dict(self)
             self.clear()
-        missing = [k for k in keys if k not in self]
-        old = self.old
-        self.update((k, old[k]) for k in missing if k in old)
-        missing = [k for k in missing if k not in old]
-        if missing:
-            self.update(zip(missing, self.encode(missing)))
+            self.bytes = 0
+        missing = keys.difference(self)
+        again = missing.intersection(self.old)
+        if again:
+            self.update(zip(again, map(self.old.__getitem__, again)))
+            missing -= again
+        fresh = list(missing)
+        if fresh:
+            self.update(zip(fresh, self.encode(fresh)))
+        # A string and its ids have up to 8 bytes a character, beside the two objects and their place.
+        self.bytes += ENTRY_BYTES * (len(again) + len(fresh)) + 8 * (sum(map(len, again)) + sum(map(len, fresh)))
 
 
 class Encoder:
