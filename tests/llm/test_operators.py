@@ -68,6 +68,38 @@ def test_exact_dedup(spark, docs):
     assert exact_dedup.keep_exact(empty_documents(spark)).count() == 0
 
 
+def test_exact_dedup_goes_through_its_index(spark, docs, monkeypatch):
+    """The index gives the groups: rows that it doesn't find come out as texts of their own."""
+    rows = [(b"k" * 32, 3, i, k, 5, 1, 1) for k, i in enumerate([4, None, 9, 9])]
+    assert list(exact_dedup.index_groups(rows)) == [(b"k" * 32, 3, 9, 2, 5, 2, 4)]
+    assert list(exact_dedup.index_groups(rows[:2] + [(b"k" * 32, 3, 4, 7, 1, 1, 1)])) == [(b"k" * 32, 3, 4, 7, 1, 1, 3)]
+    monkeypatch.setattr(exact_dedup.CuckooIndex, "find", lambda self, key: None)
+    assert len(list(exact_dedup.index_groups(rows))) == 4
+
+
+def test_a_hot_group_and_a_full_index(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "LIVE_PER_TASK", 3)
+    monkeypatch.setattr(exact_dedup, "HOT", 5)
+    rows = [(i, "Hot Text" if i % 3 else f"text {i % 12}") for i in range(120)] + [(None, "hot text")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[lower(t)].append(-1 if i is None else i)
+    want = [(i, max(groups[lower(t)]), len(groups[lower(t)]), i == max(groups[lower(t)]), hashlib.sha256(lower(t).encode()).hexdigest()) for i, t in rows]
+    assert rows_of(exact_dedup.exact_dedup(df)) == sorted(want, key=repr)
+    assert sorted(r["doc_id"] for r in exact_dedup.keep_exact(df).collect()) == sorted(max(g) for g in groups.values())
+
+
+def test_different_texts_under_one_digest_stop_the_job(spark):
+    keyed = spark.createDataFrame([(bytes(32), 1, 1, 0), (bytes(32), 1, 2, 1)], "digest binary, length long, doc_id long, at long")
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    raw = docs.selectExpr("doc_id", "xxhash64(cast(text as binary)) AS raw")
+    with pytest.raises(ValueError, match="different texts"):
+        exact_dedup.verify_groups(docs, keyed.join(raw, "doc_id"))
+    same = spark.createDataFrame([(1, "a"), (2, "A")], "doc_id long, text string")
+    exact_dedup.verify_groups(same, keyed.join(same.selectExpr("doc_id", "xxhash64(cast(text as binary)) AS raw"), "doc_id"))
+
+
 # ---- SimHash
 
 
@@ -249,6 +281,22 @@ def test_packing_does_not_depend_on_ranges(spark, monkeypatch):
     assert counts[0] == counts[1]
 
 
+def test_slots_follow_the_documents_that_wait(spark, monkeypatch):
+    """Many large gaps and five small documents: a round sorts some rows, not a slot for each place in each gap."""
+    made = []
+    keep = packing.materialise
+    monkeypatch.setattr(packing, "materialise", lambda df, label: made.append((label, keep(df, label))) or made[-1][1])
+    lengths = [3000] * 2000 + [10] * 5
+    items = spark.createDataFrame(list(enumerate(lengths)), "pid long, length long")
+    bins = {r["pid"]: r["bin"] for r in packing.best_fit(items, 4096).collect()}
+    assert len(set(bins.values())) == 2000 and len(bins) == 2005
+    last = [df for label, df in made if label == "packing-swept"][-1]
+    assert last.filter("kind = 0").count() == 5 and last.count() < 50
+    assert packing.offered(5, 10, {1096: 2000}) == (1096, 5, 1)
+    assert packing.offered(50, 10, {15: 3, 40: 2, 1096: 2}) == (1096, 2, 20)
+    assert packing.offered(5, 10, {12: 2}) == (12, 2, 1)
+
+
 # ---- secrets
 
 
@@ -367,6 +415,71 @@ def test_lattice_sums_match_a_plain_recursion():
     assert np.allclose(got, [brute_word_score(w, logs, pieces.longest) for w in words], atol=1e-9)
 
 
+def plain_pieces(path):
+    """Piece strings and byte pieces with their numbers, and the prior by the file's own scores."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    names, spelled, scores = {}, {}, []
+    for i in range(model.get_piece_size()):
+        if model.is_byte(i):
+            spelled[int(model.id_to_piece(i)[3:-1], 16)] = len(scores)
+        elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
+            names[model.id_to_piece(i)] = len(scores)
+        else:
+            continue
+        scores.append(1 / (2 - model.get_score(i)))
+    weights = np.array([*scores, max(scores)])
+    return names, spelled, weights / weights.sum()
+
+
+def segmentations(s, names, spelled, longest):
+    """All segmentations of a short string, each as a list of piece numbers."""
+    if not s:
+        yield []
+    for k in range(1, min(longest, len(s)) + 1):
+        head = [names[s[:k]]] if s[:k] in names else [spelled[b] for b in s[0].encode()] if k == 1 else None
+        if head is not None:
+            for rest in segmentations(s[k:], names, spelled, longest):
+                yield head + rest
+
+
+def test_scores_and_weights_match_plain_segmentations(spark):
+    """Two rounds of expected counts and the sums of texts, over all segmentations written out."""
+    texts = ["the cat sat", "The theme, then", "naïve cat 日 the", "", None, "hat the at"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    names, spelled, prior = plain_pieces(PIECES)
+    longest = max(map(len, names))
+    words = {w for t in texts for w in WORD.findall(lower(t))}
+    ways = {w: list(segmentations("▁" + w, names, spelled, longest)) for w in words}
+    assert max(map(len, ways.values())) > 4
+    train, ends = Counter(), 0
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            train.update(WORD.findall(lower(t)))
+            ends += 1
+    weights = prior
+    for _ in range(lattice_lm.EM_ROUNDS):
+        total = np.zeros(len(prior))
+        total[-1] = ends
+        for w, n in train.items():
+            chances = [math.prod(weights[p] for p in way) for way in ways[w]]
+            for way, chance in zip(ways[w], chances):
+                for p in way:
+                    total[p] += n * chance / sum(chances)
+        weights = 0.1 * prior + 0.9 * total / total.sum()
+    want = {i: math.log10(weights[-1]) + sum(math.log10(sum(math.prod(weights[p] for p in way) for way in ways[w])) for w in WORD.findall(lower(t))) for i, t in rows}
+    got = {r["doc_id"]: r["score"] for r in lattice_lm.lattice_scores(spark.createDataFrame(rows, "doc_id long, text string"), PIECES).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want), (got, want)
+
+
+def test_existing_scores_are_kept_as_they_are():
+    logs = np.log([0.5, 0.25, 0.125])
+    kept = np.exp(lattice_lm.existing_weights(logs))
+    assert np.allclose(kept, np.array([4, 2, 1, 4]) / 11)
+    assert np.allclose(np.exp(lattice_lm.mixed(np.log(kept), np.array([0.0, 0, 0, 9]))), 0.1 * kept + [0, 0, 0, 0.9])
+
+
 def test_training_raises_the_likelihood(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scores = [sum(r["score"] for r in lattice_lm.lattice_scores(docs, PIECES, rounds=n).filter("held_out").collect()) for n in (0, 2)]

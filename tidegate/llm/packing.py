@@ -5,7 +5,8 @@ Documents longer than the capacity are cut into pieces of it; the last piece may
 of full length are sequences of their own, the others are packed in bulk-synchronous rounds:
 
 * the longest documents left, and those over half as long, take part; each sequence offers its gap,
-  split into as many equal slots as documents of the largest length would fill;
+  split into as many equal slots as documents of the largest length would fill. Of the gaps that hold
+  any of these documents only the smallest take part, as many as give each document a slot;
 * documents and slots are sorted together by size over the cluster, and each task sweeps its range:
   a slot takes the largest document before it that no smaller slot took. What finds no mate in its
   range is ranked; the ranks that meet across ranges follow from the numbers left in each range, and
@@ -13,8 +14,10 @@ of full length are sequences of their own, the others are packed in bulk-synchro
 * gaps shrink by what they took, and the next round starts. Sequences are opened as long as the
   largest document fits no gap.
 
-Every round is a table in the shared folder. Repeated rows and null ids are packed like any other
-row; an empty table gives an empty result; extra columns are ignored.
+Every round is a table in the shared folder. Documents of one length and slots of one size come in the
+order of their numbers. A very long text is cut like any other and its pieces are spread over
+sequences. Repeated rows and null ids are packed like any other row; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,17 +41,24 @@ END_ID = 1
 #: In each round documents over the largest length divided by this take part.
 WAVE = 2
 ROWS_PER_TASK = 50_000
+#: Ranges of a round at most; beyond that they grow. Their leftovers are matched by a few numbers a range.
+MAX_RANGES = 50_000
+#: Sequences of one gap are chosen by so many buckets.
+BUCKETS = 1024
 BLOCK_CHARS = 2_000_000
-#: Strings that one call of the library encodes.
-JOINED = 256
-#: The pre-tokenizer's pattern for lower-case ASCII.
-_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0D\x20a-z0-9]+")
+#: Characters that one call of the library encodes.
+JOINED = 4096
+#: Texts of these are in normal form, and their lower case is that of each character.
+LATIN = re.compile(r"[\x00-\x7FÀ-ÖØ-öø-įı-ſ¡¿«»“”‘’–—…€£]*")
+#: The pre-tokenizer's pieces of such a text in lower case.
+PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ſ]+|[0-9]|[^\x09-\x0D\x20a-z0-9ß-öø-ſ]+")
 
 
 class Tokens:
     """Ids of texts by a file of the tokenizers library whose pre-tokenizer drops white space.
 
-    Ids of a text are those of its parts between spaces and line feeds; parts seen before are kept.
+    Texts of Latin letters are split here as the pre-tokenizer does, and the ids of the pieces are kept;
+    other texts are split between spaces and line feeds, and the ids of those parts are kept.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,35 +68,45 @@ class Tokens:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        self.parts = Table(self._encode)
-        self.pieces = Table(self._ask)
+        self.ends = np.zeros(self.model.get_vocab_size(), bool)
+        self.ends[[i for s, i in self.model.get_vocab().items() if s.endswith("</w>")]] = True
+        self.pieces, self.parts = Table(self._pieces), Table(self._parts)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of single pieces: many a call, as the last id of a piece says that it is the last."""
+        out: list[bytes] = []
+        for a, b in blocks([len(p) for p in pieces], JOINED):
+            ids = self._ids(" ".join(pieces[a:b]))
+            cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(cuts) != b - a:
+                raise ValueError(f"not one piece each: {pieces[a:b]}")
+            out += map(ids.tobytes().__getitem__, map(slice, [0, *cuts[:-1]], cuts))
+        return out
 
-    def _ask(self, pieces: list[str]) -> list[bytes]:
-        """Ids from the library: many strings a call, with a special token between them."""
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of any strings: many a call, with a special token between them."""
         mark, name = 49406, "<|startoftext|>"
-        out: list[bytes] = [b""] * len(pieces)
-        for a in range(0, len(pieces), JOINED):
-            some = pieces[a : a + JOINED]
-            ids = np.array(self.model.encode_batch_fast([name.join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = [-1, *np.flatnonzero(ids == mark).tolist(), len(ids)]
-            if len(cuts) == len(some) + 1:
-                out[a : a + len(some)] = [ids[x + 1 : y].tobytes() for x, y in zip(cuts, cuts[1:])]
+        out: list[bytes] = []
+        for a, b in blocks([len(p) for p in parts], JOINED):
+            ids = self._ids(name.join(parts[a:b]))
+            cuts = np.flatnonzero(ids == mark)
+            if len(cuts) == b - a - 1:
+                flat, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+                out += map(flat.__getitem__, map(slice, [0, *[x + 4 for x in ends[:-1]]], ends))
             else:  # a string that holds the token itself
-                out[a : a + len(some)] = [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(some, add_special_tokens=False)]
+                out += [self._ids(p).tobytes() for p in parts[a:b]]
         return out
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        """ASCII parts split further, as the pre-tokenizer does after lower-casing; the rest is left whole."""
-        split = [_ASCII_PIECES.findall(p.lower()) if p.isascii() and "<|" not in p else [p] for p in parts]
-        self.pieces.fill({x for xs in split for x in xs if x})
-        get = self.pieces.__getitem__
-        return [b"".join([get(x) for x in xs if x]) for xs in split]
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        self.parts.fill({p for ps in split for p in ps})
-        get = self.parts.__getitem__
-        return [b"".join(map(get, ps)) for ps in split]
+        latin = [(t.isascii() or LATIN.fullmatch(t) is not None) and "<|" not in t for t in texts]
+        split = [PIECES.findall(t.lower()) if x else t.replace("\n", " ").split(" ") for t, x in zip(texts, latin)]
+        self.pieces.fill(set().union(*(ps for ps, x in zip(split, latin) if x)))
+        self.parts.fill(set().union(*(ps for ps, x in zip(split, latin) if not x)))
+        get = {True: self.pieces.__getitem__, False: self.parts.__getitem__}
+        return [b"".join(map(get[x], ps)) for ps, x in zip(split, latin)]
 
 
 _models: dict[str, Tokens] = {}
@@ -188,6 +208,20 @@ def meeting_ranks(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int,
     return out
 
 
+def offered(documents: int, largest: int, gaps: dict[int, int]) -> tuple[int, int, int]:
+    """Of the gaps (number by size) that hold the largest document, the fullest sequences that have a slot for each document.
+
+    Returns the largest gap that takes part, and how many of its sequences and slots of each are needed.
+    """
+    left = documents
+    for gap in sorted(g for g in gaps if g >= largest):
+        some = gaps[gap] * (gap // largest)
+        if some >= left:
+            return gap, min(left, gaps[gap]), -(-left // gaps[gap])
+        left -= some
+    return max(gaps, default=0), gaps[max(gaps)] if gaps else 0, max(gaps, default=0) // largest
+
+
 def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pid, bin: the sequence of each item (pid, length), all shorter than the capacity."""
     spark = items.sparkSession
@@ -196,37 +230,49 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     # kind 0: a document and its length; kind 1: a sequence and its gap.
     state = materialise(items.select(F.lit(0).alias("kind"), F.col("pid").alias("id"), F.col("length").alias("size")), "packing-state")
     while True:
-        facts = {r["kind"]: r for r in state.groupBy("kind").agg(F.max("size").alias("largest"), F.sum("size").alias("total"), F.count("*").alias("n")).collect()}
-        if 0 not in facts:
+        # How many documents and gaps have each size: at most two rows for each number up to the capacity.
+        sizes: tuple[dict[int, int], dict[int, int]] = ({}, {})
+        for row in state.groupBy("kind", "size").count().collect():
+            sizes[row["kind"]][row["size"]] = row["count"]
+        documents, gaps = sizes
+        if not documents:
             break
-        largest = facts[0]["largest"]
-        gap = facts[1]["largest"] if 1 in facts else 0
+        largest, gap = max(documents), max(gaps, default=0)
         if gap < largest:
-            need = state.filter((F.col("kind") == 0) & (F.col("size") > gap)).agg(F.sum("size")).first()[0]
-            more = -(-need // capacity)
+            more = -(-sum(size * n for size, n in documents.items() if size > gap) // capacity)
             fresh = spark.range(opened, opened + more).select(F.lit(1).alias("kind"), "id", F.lit(capacity).cast("long").alias("size"))
             opened += more
+            gaps[capacity] = more
             state = state.unionByName(fresh)
-            facts_n = facts[0]["n"] + more
-        else:
-            facts_n = facts[0]["n"] + facts[1]["n"]
         bound = largest // WAVE
-        parts = F.greatest(F.lit(1), F.floor(F.col("size") / largest)).cast("int")
-        active = state.filter((F.col("size") > bound))
+        waiting_now = sum(n for size, n in documents.items() if size > bound)
+        most, wanted, each = offered(waiting_now, largest, gaps)
+        place = F.pmod(F.xxhash64("id"), F.lit(BUCKETS))
+        taking = F.lit(True)
+        if gaps[most] > 2 * wanted:  # so many sequences of one gap that some buckets of them will do
+            counts = {r["place"]: r["count"] for r in state.filter((F.col("kind") == 1) & (F.col("size") == most)).groupBy(place.alias("place")).count().collect()}  # a row a bucket
+            total, last = 0, -1
+            while total < wanted:
+                last += 1
+                total += counts.get(last, 0)
+            taking, gaps[most] = place <= last, total
+        active = state.filter((F.col("size") > bound) & ((F.col("kind") == 0) | (F.col("size") < most) | ((F.col("size") == most) & taking)))
+        parts = F.when(F.col("size") == most, each).otherwise(F.greatest(F.lit(1), F.floor(F.col("size") / largest))).cast("int")
         ranged = active.select(
             "kind", "id", F.when(F.col("kind") == 1, F.floor(F.col("size") / parts)).otherwise(F.col("size")).cast("long").alias("size"),
             F.explode(F.when(F.col("kind") == 1, F.sequence(F.lit(1), parts)).otherwise(F.array(F.lit(0)))).alias("slot"),
         )
-        tasks = max(1, -(-facts_n // ROWS_PER_TASK))
+        rows = waiting_now + sum(n * (each if size == most else max(1, size // largest)) for size, n in gaps.items() if bound < size <= most)
+        tasks = min(max(1, -(-rows // ROWS_PER_TASK)), MAX_RANGES)
         swept = ranged.repartitionByRange(tasks, "size", "kind", "id", "slot").sortWithinPartitions("size", "kind", "id", "slot").select("kind", "id", "size").mapInArrow(_sweep_rows, SWEPT)
         swept = materialise(swept, "packing-swept")
-        # A row for each range.
+        # A row for each range, of which there are MAX_RANGES at most.
         left = swept.filter("rank >= 0").groupBy("task").agg(F.sum("kind").alias("slots"), F.sum(1 - F.col("kind")).alias("documents")).orderBy("task").collect()
         met = meeting_ranks([(r["task"], r["slots"], r["documents"]) for r in left])
         local = swept.filter("kind = 0 AND bin IS NOT NULL").select(F.col("id").alias("pid"), "size", "bin")
         rest = swept.filter("kind = 0 AND bin IS NULL")
         if met:
-            spans = F.broadcast(spark.createDataFrame(met, "mkind int, mtask int, low long, high long, key long"))  # two rows a range at most
+            spans = F.broadcast(spark.createDataFrame(met, "mkind int, mtask int, low long, high long, key long"))  # four rows a range at most
             ranked = swept.filter("rank >= 0").join(spans, (F.col("kind") == F.col("mkind")) & (F.col("task") == F.col("mtask")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")), "left")
             ranked = ranked.withColumn("mate", F.col("key") + F.col("rank") - F.col("low"))
             matched = ranked.filter("mate IS NOT NULL")
