@@ -6,8 +6,10 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from tidegate.plans import inspection
-from tidegate.sources import ingest
+from tidegate.config import Config
+from tidegate.operators import characters
+from tidegate.plans import api, inspection
+from tidegate.sources import ingest, sinks
 from tidegate.streaming import inspect as stream
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -53,13 +55,57 @@ def test_batch_to_verdicts(spark):
     assert rows[2]["segments"][0]["text"] == "bytes � here"
     results = inspection.inspect_segments(ingest.segments_of(items, ["job_id", "item_id"]))
     verdicts = {r["item_id"]: r["decision"] for r in inspection.item_verdicts(results, ["job_id", "item_id"]).collect()}
-    assert verdicts == {"j-0": "BLOCK", "j-2": "PASS", "j-3": "PASS", "j-4": "REVIEW"}
+    assert verdicts == {"j-0": "BLOCK", "j-2": "BLOCK", "j-3": "PASS", "j-4": "REVIEW"}
     lost = inspection.uninspectable(items.filter("segment_count = 0"), F.col("note")).first()
     assert lost["decision"] == "REVIEW" and lost["code"] == "NOT_INSPECTED" and "not supported" in lost["explanation"]
     found = inspection.findings(results, ["job_id", "item_id"]).filter("code = 'CLASS_MARKING'").collect()
     assert [f["provenance"] for f in found] == ["Header"]
 
 
+def test_no_staged_item_is_lost(spark, tmp_path):
+    """Every staged item has a verdict, whatever its bytes are."""
+    files = [("j", 0, "old.doc", b"x"), ("j", 1, "broken.pdf", b"%PDF-1.4 nothing"), ("j", 2, "raw", b"ab \xff\xfe"), ("j", 3, "marked.txt", b"\xef\xbb\xbfhello"), ("j", 4, "bad.docx", b"PK no archive"), ("j", 5, "odd.txt", b"\xef\xbb\xbfa\xc3"), ("j", 6, "marking.txt", b"SECRET//NOFORN"), ("j", 7, "fine.txt", b"all fine"), ("j", 8, "empty.txt", b"")]
+    items = ingest.stage_batch(spark.createDataFrame(files, "job_id string, ord int, source_name string, content binary"), None)
+    sinks.write_segments(items, str(tmp_path / "staged"))
+    for staged in (items, sinks.read_segments(spark, str(tmp_path / "staged"))):
+        verdicts, found = api.run_inspection(staged, Config({}))
+        rows = {r["item_id"]: r for r in verdicts.collect()}
+        assert {k: (r["decision"], r["risk_tier"], r["status"]) for k, r in rows.items()} == {
+            "j-0": ("REVIEW", "MEDIUM", "DONE"), "j-1": ("REVIEW", "MEDIUM", "DONE"), "j-2": ("BLOCK", "HIGH", "DONE"), "j-3": ("PASS", "NONE", "DONE"),
+            "j-4": ("REVIEW", "MEDIUM", "DONE"), "j-5": ("BLOCK", "HIGH", "DONE"), "j-6": ("BLOCK", "HIGH", "DONE"), "j-7": ("PASS", "NONE", "DONE"), "j-8": ("PASS", "NONE", "DONE"),
+        }
+        assert rows["j-0"]["charguard"] == "n/a"
+        why = {(r["item_id"], r["stage"], r["code"]): r["explanation"] for r in found.collect()}
+        assert "not supported" in why["j-0", "CHARGUARD", "NOT_INSPECTED"] and ("j-1", "CHARGUARD", "NOT_INSPECTED") in why and why["j-4", "CHARGUARD", "NOT_INSPECTED"].startswith("OOXML parse error")
+        assert why["j-2", "CHARGUARD", "INVALID_UTF8"] == "input is not valid UTF-8 (invalid start byte at byte 3) — possible encoding smuggling"
+        assert why["j-5", "CHARGUARD", "INVALID_UTF8"] == "input is not valid UTF-8 (unexpected end of data at byte 1) — possible encoding smuggling"
+        assert why["j-3", "CHARGUARD", "INVISIBLE_CHARS"] == "leading UTF-8 BOM (stripped)" and ("j-3", "CHARGUARD", "ZEROWIDTH_SPARSE") not in why
+
+
+def test_an_item_on_which_a_detector_fails_is_blocked_as_an_error(spark, monkeypatch):
+    monkeypatch.setattr(characters, "encoded_findings", lambda text: 1 / 0)
+    assert characters._encoded_or_failed("x") == [characters.FAILED] and characters._encoded_or_failed(None) == []
+    texts = spark.createDataFrame([("j", 0, "one"), ("j", 1, "two")], "job_id string, ord int, text string")
+    items = ingest.stage_batch(None, texts)
+    failed = F.from_json(F.lit(json.dumps([characters.FAILED])), f"array<{characters.FINDING}>")
+    items = items.withColumn("early", F.when(F.col("seq") == 1, failed).otherwise(F.col("early")))
+    verdicts, found = api.run_inspection(items, Config({}))
+    assert {r["item_id"]: (r["decision"], r["risk_tier"], r["status"]) for r in verdicts.collect()} == {"j-0": ("PASS", "NONE", "DONE"), "j-1": ("BLOCK", "HIGH", "ERROR")}
+    assert [(r["item_id"], r["stage"], r["code"], r["severity"]) for r in found.collect()] == [("j-1", "INSPECTOR", "PARSE_ERROR", "HIGH")]
+
+
+def test_jobs_over_a_cap_are_not_taken(spark):
+    files = spark.createDataFrame([("many", i, f"f{i}", b"x") for i in range(4)] + [("file", 0, "ok", b"x"), ("file", 1, "big.txt", b"x" * 11), ("job", 0, "a", b"x" * 8), ("job", 1, "b", b"x" * 8), ("fine", 0, "a", b"x")], "job_id string, ord int, source_name string, content binary")
+    texts = spark.createDataFrame([("text", 0, " "), ("text", 1, "short"), ("text", 2, "é" * 4), ("blank", 0, "\n"), ("job", 0, "x"), ("fine", 0, "x")], "job_id string, ord int, text string")
+    jobs = spark.createDataFrame([(j,) for j in ("many", "file", "job", "fine", "text", "blank", "none")], "job_id string")
+    got = {r["job_id"]: (r["status"], r["reason"]) for r in ingest.rejected_jobs(files, texts, jobs, 3, 10, 7, 15).collect()}
+    assert got == {
+        "many": (413, "too many files (max 3)"), "file": (413, "file 'big.txt' exceeds size cap"), "job": (413, "job exceeds size cap"), "text": (413, "text chunk 2 exceeds size cap"),
+        "blank": (400, "nothing to inspect — provide text and/or files"), "none": (400, "nothing to inspect — provide text and/or files"),
+    }
+    assert ingest.rejected_jobs(files.filter("job_id = 'fine'"), texts.filter("job_id = 'fine'")).count() == 0
+
+
 def test_binary_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"hello")
     (tmp_path / "big.txt").write_bytes(b"x" * 100)

@@ -6,8 +6,6 @@ otherwise, and RE2 has no look-around, so both get them spelled out.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from tidegate.functions import fixed
 
 _WORD = r"\p{L}\p{N}_"
@@ -22,7 +20,7 @@ def java(pattern: str, ignore_case: bool = False) -> str:
 def re2(pattern: str, ignore_case: bool = False) -> str:
     """For DuckDB, in lexicons whose word edges stand beside a word character of the pattern or its ends."""
     flags = "(?i)" if ignore_case else ""
-    return flags + pattern.replace(r"\b", r"\b").replace(r"\s", f"[{fixed.SPACE}]").replace(r"\d", r"\p{Nd}")
+    return flags + pattern.replace(r"\s", f"[{fixed.SPACE}]").replace(r"\d", r"\p{Nd}")
 
 
 INJECTION = "|".join(fixed.INJECTION)
@@ -32,17 +30,17 @@ BASE64_RUN_JAVA = r"[A-Za-z0-9+/]{40,}+={0,2}"
 BASE64URL_RUN_JAVA = r"[A-Za-z0-9_\-]{40,}+={0,2}"
 ANY_REMOVED = "".join([fixed.BIDI, fixed.BIDI_MARK, fixed.ZERO_WIDTH, fixed.TAG, fixed.VARIATION])
 #: Cf, Cc, Co and Cn without the classes above and the white space that may stay.
-OTHER_INVISIBLE = reduce(lambda a, b: a + b, [r"[[\p{Cf}\p{Cc}\p{Co}\p{Cn}]&&[^", ANY_REMOVED, fixed.ALLOWED_SPACE, "]]"])
+OTHER_INVISIBLE = rf"[[\p{{Cf}}\p{{Cc}}\p{{Co}}\p{{Cn}}]&&[^{ANY_REMOVED}{fixed.ALLOWED_SPACE}]]"
 REMOVED = rf"[{ANY_REMOVED}[\p{{Cf}}\p{{Cc}}\p{{Co}}\p{{Cn}}&&[^{fixed.ALLOWED_SPACE}]]]"
 LETTER_RUN = r"[\p{L}\p{Nl}\p{No}]+"
 LATIN = rf"[\p{{IsLatin}}&&[^{fixed.NOT_NAMED_LATIN}]]"
 CYRILLIC = r"\p{IsCyrillic}"
 GREEK = r"[\p{IsGreek}\p{IsCoptic}]"
 OTHER_LETTER = rf"[\p{{L}}&&[^{LATIN}{CYRILLIC}{GREEK}]]"
-#: Tests that rule most texts out: a character that may count as invisible; a letter that is not Latin by name.
-MAYBE_INVISIBLE = rf"[{ANY_REMOVED}[\p{{Cf}}\p{{Cc}}\p{{Co}}\p{{Cn}}&&[^{fixed.ALLOWED_SPACE}]]]"
+#: A letter that is not Latin by name.
 NOT_LATIN = rf"[{CYRILLIC}{GREEK}{OTHER_LETTER}]"
-#: The cheapest of tests: nothing below has any of the two.
+#: The cheapest of tests: a text without such a character has nothing invisible, one script and canonical form.
+BEYOND_PLAIN = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\xAA\xAD\xBA\x{250}-\x{10FFFF}]"
 BEYOND_LATIN = r"[^\x00-\xA9\xAB-\xB9\xBB-\x{24F}]"
 CONTROL_OR_BEYOND = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\xAD]|[^\x00-\x{2FF}]"
 

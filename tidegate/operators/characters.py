@@ -73,7 +73,7 @@ def invisible_findings(text: Column) -> Column:
             _finding(n["variation"] >= fixed.VARIATION_MIN, "VARIATION_SELECTORS", "MEDIUM", n["variation"], fixed.DETAIL["VARIATION_SELECTORS"], at(fixed.VARIATION)),
         ])
 
-    return F.when(text.rlike(patterns.CONTROL_OR_BEYOND) & text.rlike(patterns.MAYBE_INVISIBLE), let(counts, report)).otherwise(F.array().cast(f"array<{FINDING}>"))
+    return F.when(text.rlike(patterns.CONTROL_OR_BEYOND) & text.rlike(patterns.REMOVED), let(counts, report)).otherwise(F.array().cast(f"array<{FINDING}>"))
 
 
 def script_findings(text: Column) -> Column:
@@ -195,14 +195,25 @@ def encoded_findings(text: str) -> list[dict]:
     return out
 
 
+FAILED = {"code": "PARSE_ERROR", "severity": "HIGH", "occurrences": "1", "detail": fixed.FAILED_ITEM[1], "verbatim": None, "position": None}
+
+
+def _encoded_or_failed(text: str | None) -> list[dict]:
+    """A text on which the detectors fail blocks its item; its batch goes on."""
+    try:
+        return encoded_findings(text) if text else []
+    except Exception:  # noqa: BLE001
+        return [FAILED]
+
+
 @vectorised(f"array<{FINDING}>")
 def _encoded(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: encoded_findings(t) if t else [])
+    return text.map(_encoded_or_failed)
 
 
 def has_runs(text: Column) -> Column:
     """Whether a text can have an encoded run at all."""
-    return text.rlike(r"[A-Za-z0-9+/_\-]{40}") | text.rlike(patterns.HEX_RUN_JAVA) | text.contains(";base64,")
+    return text.rlike(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{40}") | text.rlike(patterns.HEX_RUN_JAVA) | text.contains(";base64,")
 
 
 def pem_finding(text: Column) -> Column:
@@ -220,24 +231,48 @@ def entropy_finding(text: Column) -> Column:
 
 def character_findings(text: Column) -> Column:
     """All gate-1 findings of a text, in order."""
-    canonical = _finding(not_canonical(text), "NON_NFC", "LOW", F.lit(1), fixed.DETAIL["NON_NFC"])
+    # Most texts have nothing but plain Latin letters, and pass the first three detectors by one test.
+    odd = text.rlike(patterns.BEYOND_PLAIN)
+    canonical = _finding(not_canonical(F.when(odd, text)), "NON_NFC", "LOW", F.lit(1), fixed.DETAIL["NON_NFC"])
     return F.concat(
-        invisible_findings(text),
-        script_findings(text),
-        _found([canonical, pem_finding(text)]),
+        F.when(odd, F.concat(invisible_findings(text), script_findings(text), _found([canonical]))).otherwise(F.array().cast(f"array<{FINDING}>")),
+        _found([pem_finding(text)]),
         _encoded(F.when(has_runs(text), text)),
         _found([entropy_finding(text)]),
     )
 
 
+@vectorised("string")
+def _what_is_invalid(content: pd.Series) -> pd.Series:
+    def say(data: bytes | None) -> str | None:
+        try:
+            return None if data is None else data.removeprefix(b"\xef\xbb\xbf").decode() and None
+        except UnicodeDecodeError as e:
+            return fixed.DETAIL["INVALID_UTF8"] % (e.reason, e.start)
+
+    return content.map(say)
+
+
+def invalid_finding(content: Column) -> Column:
+    """A finding of bytes that are no UTF-8, with the reason and the place after a byte order mark; null for others."""
+    bad = ~F.is_valid_utf8(content.cast("string"))
+    return _finding(bad, "INVALID_UTF8", "HIGH", F.lit(1), _what_is_invalid(F.when(bad, content)))
+
+
+def mark_finding(marked: Column) -> Column:
+    return _finding(marked, "INVISIBLE_CHARS", "LOW", F.lit(1), fixed.DETAIL["BOM"])
+
+
 def byte_findings(content: Column) -> Column:
     """Findings of raw bytes before their text: a byte order mark; bytes that are no UTF-8."""
-    bom = content.startswith(F.unhex(F.lit("EFBBBF")))
-    bad = ~F.is_valid_utf8(content.cast("string"))
-    return _found([
-        _finding(bom, "INVISIBLE_CHARS", "LOW", F.lit(1), fixed.DETAIL["BOM"]),
-        _finding(bad, "INVALID_UTF8", "HIGH", F.lit(1), fixed.DETAIL["INVALID_UTF8"]),
-    ])
+    return _found([mark_finding(content.startswith(F.unhex(F.lit("EFBBBF")))), invalid_finding(content)])
+
+
+def segment_findings(text: Column) -> Column:
+    """Gate-1 findings of a segment: a leading byte order mark is one, and no part of the text behind it."""
+    marked = text.startswith("\ufeff")
+    body = F.when(marked, F.substring(text, F.lit(2), F.length(text))).otherwise(text)
+    return F.concat(_found([mark_finding(marked)]), character_findings(body))
 
 
-__all__ = ["FINDING", "character_findings", "byte_findings", "encoded_findings", "blob_finding", "letter_runs"]
+__all__ = ["FINDING", "character_findings", "segment_findings", "byte_findings", "encoded_findings", "blob_finding", "letter_runs"]

@@ -27,8 +27,8 @@ Gate = Callable[[Column], Column]
 
 def is_injection(text: Column) -> Column:
     # A literal of each pattern, without letters that fold to others, before the patterns themselves.
-    low = F.lower(text)
-    some = reduce(lambda a, b: a | b, (low.contains(x) for x in ("ignore ", "regard ", "you are now", "act a", "reveal ", "output", "developer mode", "new in", "<")))
+    literals = ("ignore ", "regard ", "you are now", "act a", "reveal ", "output", "developer mode", "new in", "<")
+    some = let(F.lower(text), lambda low: reduce(lambda a, b: a | b, (low.contains(x) for x in literals)))
     return some & text.rlike(patterns.java(patterns.INJECTION, True))
 
 
@@ -43,21 +43,29 @@ def windowed_guard(score_many: Callable[[pd.Series], pd.Series], width: int = fi
     @vectorised("struct<label:string,score:double,windows:int>")
     def guard(text: pd.Series) -> pd.DataFrame:
         owner, pieces = [], []
-        for i, t in enumerate(text):
-            words = (t or "").split()
+        asked = text.notna()  # a null is a text that the gate is not to look at
+        for i, t in enumerate(text[asked]):
+            words = t.split()
             starts = [0] if len(words) <= width else list(range(0, len(words) - width + stride, stride))
             owner += [i] * len(starts)
-            pieces += [t or ""] if len(starts) == 1 else [" ".join(words[s : s + width]) for s in starts]
-        scored = pd.DataFrame({"owner": owner, "score": pd.Series(score_many(pd.Series(pieces))).to_numpy()}).groupby("owner")["score"].agg(["max", "size"])
-        best = scored["max"].round(4)
-        return pd.DataFrame({"label": ["malicious" if s >= fixed.GUARD_THRESHOLD else "benign" for s in best], "score": best, "windows": scored["size"].astype("int32")})
+            pieces += [t] if len(starts) == 1 else [" ".join(words[s : s + width]) for s in starts]
+        out = pd.DataFrame({"label": pd.Series("benign", text.index), "score": pd.Series(0.0, text.index), "windows": pd.Series(1, text.index, "int32")})
+        if pieces:
+            scored = pd.DataFrame({"owner": owner, "score": pd.Series(score_many(pd.Series(pieces))).to_numpy()}).groupby("owner")["score"].agg(["max", "size"])
+            best = scored["max"].round(4)
+            out.loc[asked, "label"] = ["malicious" if s >= fixed.GUARD_THRESHOLD else "benign" for s in best]
+            out.loc[asked, "score"], out.loc[asked, "windows"] = best.to_numpy(), scored["size"].to_numpy("int32")
+        return out
 
     return guard
 
 
 def lexical_categories(text: Column) -> Column:
+    # What each pattern needs in any case, by tests that are cheaper than the patterns.
+    marked = text.rlike("[A-Z]{2}")
+    needs = {"SECRET_CREDENTIAL": text.contains(":") | text.contains("=") | text.contains("-----"), "PII": text.rlike(r"\p{Nd}{3}")}
     hits = [
-        F.when(matches(text, p, fold), F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit("1").alias("occurrences")))
+        F.when(needs.get(code, marked) & matches(text, p, fold), F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit("1").alias("occurrences")))
         for code, severity, p, fold in fixed.LEXICON
     ]
     return F.filter(F.array(*hits), lambda c: c.isNotNull())
@@ -102,7 +110,7 @@ def read_verdict(raw: str | None) -> dict:
         categories = [c for c in found.get("categories") or [] if isinstance(c, dict) and c.get("code")]
     except (ValueError, TypeError):
         return _failed()
-    said = lambda c, k, default: str(c.get(k, default))
+    said = lambda c, k, default: None if (x := c.get(k, default)) is None else str(x)
     return {
         "schema_version": "3.0",
         "decision": found["decision"],

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidegate.config import Config
 from tidegate.operators.evidence import revealed, segment_evidence
 from tidegate.operators.gates import GUARDS, INSPECTORS, gate
-from tidegate.plans.inspection import finding_order, findings, inspect_segments, item_verdicts
+from tidegate.plans.inspection import finding_order, findings, inspect_segments, item_verdicts, with_uninspectable
 from tidegate.sources.ingest import segments_of
 
 
@@ -19,11 +19,11 @@ def health(config: Config | None = None) -> dict[str, str]:
 
 
 def run_inspection(items: DataFrame, config: Config | None = None) -> tuple[DataFrame, DataFrame]:
-    """Verdicts and findings of staged items, by the gates that the settings name."""
+    """Verdicts and findings of staged items, by the gates that the settings name: a verdict for every item."""
     config = config or Config()
     keys = ["job_id", "item_id"]
     results = inspect_segments(segments_of(items, keys), gate(GUARDS, config.guard), gate(INSPECTORS, config.inspector), config.short_circuit)
-    return item_verdicts(results, keys), findings(results, keys)
+    return with_uninspectable(item_verdicts(results, keys, status=True), findings(results, keys), items, keys)
 
 
 def confirmed(jobs: DataFrame, job_ids: list[str], now: float) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidegate.functions import fixed
 from tidegate.functions.text import is_blank, sanitise
 from tidegate.functions.verdicts import gate_decision, item_decision, rank, tier_of, top_severity, unrank, worst
-from tidegate.operators.characters import FINDING, character_findings
+from tidegate.operators.characters import FINDING, segment_findings
 from tidegate.operators.gates import VERDICT, Gate, lexical_guard, lexical_inspector
 
 
@@ -26,8 +26,11 @@ def explain(code: Column) -> tuple[Column, Column]:
 
 
 def inspect_segments(segments: DataFrame, guard: Gate = lexical_guard, inspector: Gate = lexical_inspector, short_circuit: bool = False) -> DataFrame:
-    """A row for each segment with gate findings and what the verdicts need of it."""
-    rows = segments.withColumn("gate1", character_findings(F.col("text"))).withColumn("clean", sanitise(F.col("text")))
+    """A row for each segment with gate findings and what the verdicts need of it; ``early`` holds findings from staging, if there."""
+    gate1 = segment_findings(F.col("text"))
+    if "early" in segments.columns:
+        gate1 = F.concat(F.coalesce("early", F.array().cast(f"array<{FINDING}>")), gate1)
+    rows = segments.withColumn("gate1", gate1).withColumn("clean", sanitise(F.col("text")))
     rows = rows.withColumn("cg_decision", gate_decision(top_severity(F.col("gate1"))))
     # Gates 2 and 3 get a null where they are not to look; a plug-in UDF would run on every row otherwise.
     skipped = is_blank(F.col("clean")) | F.lit(short_circuit) & (F.col("cg_decision") == "BLOCK")
@@ -57,7 +60,10 @@ def findings(results: DataFrame, keys: list[str]) -> DataFrame:
         lambda c: F.struct(c["code"].alias("code"), F.coalesce(c["severity"], F.lit("MEDIUM")).alias("severity"), F.coalesce(c["occurrences"], F.lit("1")).alias("occurrences"), null.alias("detail"), null.alias("verbatim"), F.lit(None).cast("int").alias("position")),
     )
     guard = F.when(F.col("injection"), F.array(attempt)).otherwise(F.array().cast(f"array<{FINDING}>"))
-    every = F.concat(F.transform("gate1", one("CHARGUARD")), F.transform(guard, one("PROMPTGUARD")), F.transform(said, one("INSPECTOR")))
+    # A detector that failed is no finding of gate 1.
+    first = F.filter("gate1", lambda f: f["code"] != "PARSE_ERROR")
+    failed = F.slice(F.filter("gate1", lambda f: f["code"] == "PARSE_ERROR"), 1, 1)
+    every = F.concat(F.transform(first, one("CHARGUARD")), F.transform(guard, one("PROMPTGUARD")), F.transform(F.concat(failed, said), one("INSPECTOR")))
     rows = results.select(*keys, "seg_idx", "provenance", F.explode(every).alias("x")).select(*keys, "seg_idx", "provenance", "x.stage", "x.seq", "x.f")
     return rows.select(
         *keys, "seg_idx", "provenance", "stage", "seq", "f.code", "f.severity", title.alias("title"), F.coalesce("f.detail", text).alias("explanation"), "f.verbatim", "f.position", "f.occurrences",
@@ -71,18 +77,20 @@ def finding_order() -> list[Column]:
     return [stage, severity, F.col("seg_idx"), F.col("seq")]
 
 
-def item_verdicts(results: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, decision, risk_tier and the worst of each gate."""
+def item_verdicts(results: DataFrame, keys: list[str], status: bool = False) -> DataFrame:
+    """keys, decision, risk_tier and the worst of each gate; and how the item ended, if asked for."""
     items = results.groupBy(*keys).agg(
         worst(F.col("cg_decision")).alias("charguard"),
         worst(F.col("insp_decision")).alias("inspector"),
         F.bool_or("injection").alias("injection"),
         F.bool_or("sensitive").alias("sensitive"),
+        F.bool_or(F.exists("gate1", lambda f: f["code"] == "PARSE_ERROR")).alias("failed"),
     )
     decision = item_decision(F.col("charguard"), F.col("inspector"), F.col("injection"), F.col("sensitive"))
     return items.select(
         *keys, decision.alias("decision"), tier_of(decision).alias("risk_tier"), "charguard",
         F.when(F.col("injection"), "malicious").otherwise("benign").alias("promptguard"), "inspector",
+        *([F.when(F.col("failed"), "ERROR").otherwise("DONE").alias("status")] if status else []),
     )
 
 
@@ -92,6 +100,19 @@ def uninspectable(items: DataFrame, note: Column) -> DataFrame:
     return items.select("*", F.lit("REVIEW").alias("decision"), F.lit("MEDIUM").alias("risk_tier"), F.lit("NOT_INSPECTED").alias("code"), F.lit(title).alias("title"), F.coalesce(note, F.lit(text)).alias("explanation"))
 
 
+def with_uninspectable(verdicts: DataFrame, found: DataFrame, items: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Verdicts (with status) and findings of inspected items, and those of staged items (segments, note) that have no segment."""
+    lost = uninspectable(items.filter(F.coalesce(F.size("segments"), F.lit(0)) <= 0), F.col("note"))
+    none = F.lit("n/a")
+    rows = lost.select(*keys, "decision", "risk_tier", none.alias("charguard"), none.alias("promptguard"), none.alias("inspector"), F.lit("DONE").alias("status"))
+    null = F.lit(None)
+    more = lost.select(
+        *keys, null.cast("int").alias("seg_idx"), null.cast("string").alias("provenance"), F.lit("CHARGUARD").alias("stage"), F.lit(0).alias("seq"), "code", F.lit("MEDIUM").alias("severity"),
+        "title", "explanation", null.cast("string").alias("verbatim"), null.cast("int").alias("position"), F.lit("1").alias("occurrences"),
+    )
+    return verdicts.unionByName(rows), found.unionByName(more)
+
+
 def job_verdicts(items: DataFrame, job: str) -> DataFrame:
     """job, n_items, n_done, status, decision: a decision once every item is terminal, and there is one."""
     terminal = F.col("status").isin(*fixed.ITEM_TERMINAL)

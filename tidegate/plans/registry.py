@@ -18,8 +18,8 @@ from tidegate.functions.verdicts import bucket, gate_decision, gate_tier, inspec
 from tidegate.operators import evidence
 from tidegate.operators.characters import character_findings, zero_width_channel
 from tidegate.operators.gates import is_injection, lexical_categories, lexical_guard, parse_verdict
-from tidegate.plans import inspection, jobs
-from tidegate.sources.ingest import detect_format, line_segments, whole_segments
+from tidegate.plans import api, inspection, jobs
+from tidegate.sources.ingest import detect_format, line_segments, spread, stage_batch, whole_segments
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,12 +69,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planted(_table(spark, sf_dir, "documents")).select("doc_id", "source", "text")
+    return planted(spread(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as jobs, turns as items."""
-    rows = _table(spark, sf_dir, "conversations").withColumn("n", F.col("conv_id") * 7 + F.col("turn"))
+    rows = spread(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).withColumn("n", F.col("conv_id") * 7 + F.col("turn"))
     return planted(rows, "n").select("conv_id", "turn", "text")
 
 
@@ -370,6 +370,46 @@ def findings_by_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 STAGE_SQL = f"{DOCS}, {_segments_sql('d', 'doc_id, source')}, f AS (SELECT doc_id, 'INSPECTOR' AS stage, unnest(c) AS code FROM e UNION ALL SELECT doc_id, 'PROMPTGUARD', 'INJECTION_ATTEMPT' FROM e WHERE i) SELECT stage, code, count(*) AS n, count(DISTINCT doc_id) AS n_items FROM f GROUP BY stage, code"
 
 
+def _staged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as files of 50 jobs: some in a format that has no reader, some with a byte that is no UTF-8 behind the page."""
+    pages = _table(spark, sf_dir, "pages")
+    n = F.col("page_id")
+    data = F.coalesce("html", F.lit("")).cast("binary")
+    name = F.concat(F.lit("page"), n.cast("string"), F.when(n % 5 == 1, ".doc").otherwise(".html"))
+    files = pages.select((n % 50).cast("string").alias("job_id"), n.alias("ord"), name.alias("source_name"), F.when(n % 7 == 3, F.concat(data, F.lit(b"\xff end"))).otherwise(data).alias("content"))
+    return stage_batch(files, None)
+
+
+def not_inspected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts of all staged pages, and what is said of those that have no text to inspect."""
+    items = _staged_pages(spark, sf_dir)
+    verdicts, found = api.run_inspection(items)
+    keys = ["job_id", "item_id"]
+    said = found.filter("code = 'NOT_INSPECTED'").select(*keys, "code", "explanation")
+    rows = verdicts.join(said, keys, "left").join(items.select(*keys, "source_name"), keys)
+    lost = F.col("code").isNotNull()
+    return rows.select("source_name", "status", "code", "explanation", *(F.when(lost, F.col(c)).alias(c) for c in ("decision", "risk_tier", "inspector")))
+
+
+NOT_INSPECTED_SQL = f"""SELECT 'page' || page_id || CASE WHEN page_id % 5 = 1 THEN '.doc' ELSE '.html' END AS source_name, 'DONE' AS status,
+ CASE WHEN page_id % 5 = 1 THEN 'NOT_INSPECTED' END AS code, CASE WHEN page_id % 5 = 1 THEN {_quoted(fixed.LEGACY_NOTE)} END AS explanation,
+ CASE WHEN page_id % 5 = 1 THEN 'REVIEW' END AS decision, CASE WHEN page_id % 5 = 1 THEN 'MEDIUM' END AS risk_tier, CASE WHEN page_id % 5 = 1 THEN 'n/a' END AS inspector FROM pages"""
+
+
+def invalid_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staged pages whose bytes are no UTF-8: what gate 1 says, and the verdict."""
+    items = _staged_pages(spark, sf_dir)
+    verdicts, found = api.run_inspection(items)
+    keys = ["job_id", "item_id"]
+    rows = found.filter("code = 'INVALID_UTF8'").join(verdicts, keys).join(items.select(*keys, "source_name"), keys)
+    return rows.select("source_name", "stage", "severity", "title", "explanation", "decision", "risk_tier")
+
+
+INVALID_SQL = f"""SELECT 'page' || page_id || '.html' AS source_name, 'CHARGUARD' AS stage, 'HIGH' AS severity, {_quoted(fixed.EXPLAIN['INVALID_UTF8'][0])} AS title,
+ 'input is not valid UTF-8 (invalid start byte at byte ' || octet_length(encode(coalesce(html, ''))) || ') — possible encoding smuggling' AS explanation, 'BLOCK' AS decision, 'HIGH' AS risk_tier
+FROM pages WHERE page_id % 7 = 3 AND page_id % 5 <> 1"""
+
+
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = _results(spark, sf_dir)
     segments = whole_segments(_docs(spark, sf_dir), ["doc_id"])
@@ -562,7 +602,7 @@ def queries() -> dict[str, Query]:
         "findings_explained": findings_explained, "findings_by_stage": findings_by_stage, "evidence_spans": evidence_spans, "evidence_parts": evidence_parts,
         "reveal_first": reveal_first, "evidence_merged": evidence_merged, "seg_lines": seg_lines, "provenance_text": provenance_text, "format_detect": formats,
         "caps_running_total": caps_running_total, "token_windows": token_windows, "jobs_overview": jobs_overview, "stocktake": stocktake, "job_status": job_status,
-        "pending_items": pending_items, "job_items": job_items, "worst_by_job": worst_by_job, "items_updated": items_updated, "findings_cleared": findings_cleared,
+        "pending_items": pending_items, "job_items": job_items, "worst_by_job": worst_by_job, "not_inspected": not_inspected, "invalid_bytes": invalid_bytes, "items_updated": items_updated, "findings_cleared": findings_cleared,
     }
     return found | named
 
@@ -577,7 +617,7 @@ def oracle_sql() -> dict[str, str]:
         "job_verdicts": JOB_SQL, "verdict_tally": TALLY_SQL, "findings_explained": EXPLAINED_SQL, "findings_by_stage": STAGE_SQL, "evidence_merged": MERGE_SQL,
         "seg_lines": LINES_SQL, "provenance_text": PROVENANCE_SQL, "format_detect": FORMAT_SQL, "caps_running_total": CAPS_SQL, "token_windows": WINDOWS_SQL,
         "jobs_overview": OVERVIEW_SQL, "stocktake": STOCKTAKE_SQL, "job_status": STATUS_SQL, "pending_items": PENDING_SQL, "job_items": JOB_ITEMS_SQL,
-        "worst_by_job": WORST_SQL, "items_updated": UPDATED_SQL, "findings_cleared": CLEARED_SQL,
+        "worst_by_job": WORST_SQL, "not_inspected": NOT_INSPECTED_SQL, "invalid_bytes": INVALID_SQL, "items_updated": UPDATED_SQL, "findings_cleared": CLEARED_SQL,
     }
 
 

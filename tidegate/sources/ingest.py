@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tidegate.functions import fixed
 from tidegate.functions.text import is_blank
 from tidegate.functions.udf import vectorised
+from tidegate.operators.characters import FINDING, invalid_finding
 
 SEGMENT = "struct<provenance:string,text:string>"
 EXTRACTED = f"struct<fmt:string,segments:array<{SEGMENT}>,note:string>"
@@ -133,10 +134,42 @@ def read_files(spark: SparkSession, path: str, most: int = fixed.MAX_FILE_BYTES)
     return files.select(F.substring_index("path", "/", -1).alias("source_name"), "content")
 
 
+def rejected_jobs(files: DataFrame | None, texts: DataFrame | None, jobs: DataFrame | None = None, most_files: int = fixed.MAX_FILES, most_file: int = fixed.MAX_FILE_BYTES, most_text: int = fixed.MAX_TEXT_BYTES, most_job: int = fixed.MAX_JOB_BYTES) -> DataFrame:
+    """job_id, status (400 or 413) and reason of the jobs that are not taken, by the first thing against each.
+
+    Too many files come first, then a file, chunk or running size over its cap, in the order of the items;
+    of ``jobs`` (job_id) those without an item have nothing to inspect. Only sizes are shuffled.
+    """
+    parts = []
+    if files is not None:
+        parts.append(files.select("job_id", F.lit(0).alias("first"), "ord", F.octet_length("content").cast("long").alias("size"), F.col("source_name").alias("name")))
+    if texts is not None:
+        kept = texts.filter(~is_blank(F.col("text")))
+        parts.append(kept.select("job_id", F.lit(1).alias("first"), "ord", F.octet_length("text").cast("long").alias("size"), F.lit(None).cast("string").alias("name")))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    order = Window.partitionBy("job_id").orderBy("first", "ord")
+    rows = rows.withColumn("running", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("chunk", F.sum("first").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    say = fixed.REJECTED
+    reason = (
+        F.when((F.col("first") == 0) & (F.col("size") > most_file), F.format_string(say["file"], "name"))
+        .when((F.col("first") == 1) & (F.col("size") > most_text), F.format_string(say["text"], "chunk"))
+        .when(F.col("running") > most_job, F.lit(say["job"]))
+    )
+    found = rows.withColumn("reason", reason).groupBy("job_id").agg(
+        F.sum(1 - F.col("first")).alias("n_files"), F.min_by("reason", F.when(F.col("reason").isNotNull(), F.struct("first", "ord"))).alias("reason")
+    )
+    found = found.withColumn("reason", F.when(F.col("n_files") > most_files, F.lit(say["files"] % most_files)).otherwise(F.col("reason")))
+    out = found.filter("reason IS NOT NULL").select("job_id", F.lit(413).alias("status"), "reason")
+    if jobs is not None:
+        out = out.unionByName(jobs.select("job_id").distinct().join(found, "job_id", "left_anti").select("job_id", F.lit(400).alias("status"), F.lit(say["nothing"]).alias("reason")))
+    return out
+
+
 def stage_batch(files: DataFrame | None, texts: DataFrame | None) -> DataFrame:
     """Items of one or more jobs: files (job_id, ord, source_name, content) first, then text chunks (job_id, ord, text).
 
-    Blank chunks are dropped; ``seq`` counts a job's items from 0.
+    Blank chunks are dropped; ``seq`` counts a job's items from 0. ``early`` has what the bytes of a text
+    tell before they are text: where they are no UTF-8.
     """
     parts = []
     if files is not None:
@@ -152,12 +185,24 @@ def stage_batch(files: DataFrame | None, texts: DataFrame | None) -> DataFrame:
     return rows.select(
         "job_id", "seq", F.concat_ws("-", "job_id", "seq").alias("item_id"), "kind", "source_name", F.col("x.fmt").alias("fmt"), F.octet_length("content").cast("long").alias("size_bytes"),
         F.col("x.segments").alias("segments"), F.col("x.note").alias("note"), chars.alias("extracted_chars"), F.size("x.segments").alias("segment_count"),
+        F.filter(F.array(invalid_finding(F.when(F.col("x.fmt") == "txt", F.col("content")))), lambda f: f.isNotNull()).alias("early"),
     )
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a scan of a few splits dealt over all cores, for work that costs far more than the shuffle.
+
+    A scan with at least a quarter as many splits as there are cores stays as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 4 * rows.rdd.getNumPartitions() <= cores else rows
+
+
 def segments_of(items: DataFrame, keys: list[str]) -> DataFrame:
-    """A row for each segment of staged items."""
-    return items.select(*keys, F.posexplode("segments").alias("seg_idx", "x")).select(*keys, "seg_idx", "x.provenance", "x.text")
+    """A row for each segment of staged items; the first one carries what staging found."""
+    early = F.when(F.col("seg_idx") == 0, F.col("early")) if "early" in items.columns else F.lit(None).cast(f"array<{FINDING}>")
+    rows = items.select("*", F.posexplode("segments").alias("seg_idx", "x"))
+    return rows.select(*keys, "seg_idx", "x.provenance", "x.text", early.alias("early"))
 
 
 def line_segments(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ ends. A call that fails blocks its text: ``gates.model_inspector`` turns a missi
 from __future__ import annotations
 
 import base64
+import http.client
 import json
 import time
 import urllib.error
@@ -98,7 +99,7 @@ def remote_inspector(**settings: object) -> Gate:
                 return None
             try:
                 return made[0].ask(text)
-            except (OSError, KeyError, IndexError, TypeError, ValueError):
+            except (OSError, http.client.HTTPException, KeyError, IndexError, TypeError, ValueError):
                 return None
 
         return texts.map(one)

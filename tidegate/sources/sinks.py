@@ -10,12 +10,12 @@ from tidegate.functions.verdicts import gate_decision, gate_tier, top_severity
 from tidegate.operators.characters import FINDING, byte_findings, character_findings
 from tidegate.sources.ingest import SEGMENT
 
-STAGED = f"job_id string, item_id string, segments array<{SEGMENT}>, note string"
+STAGED = f"job_id string, item_id string, segments array<{SEGMENT}>, note string, early array<{FINDING}>"
 
 
 def write_segments(items: DataFrame, path: str) -> None:
     """Staged items as JSON lines, a folder a job; a job that is staged again replaces its folder."""
-    items.select("job_id", "item_id", "segments", "note").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").json(path)
+    items.select("job_id", "item_id", "segments", "note", "early").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").json(path)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:

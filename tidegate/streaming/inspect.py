@@ -27,9 +27,12 @@ def inspect_stream(items: DataFrame, out: str, checkpoint: str, available_now: b
 
     def batch(rows: DataFrame, number: int) -> None:
         segments = rows.select(*keys, F.lit(0).alias("seg_idx"), F.lit("Text").alias("provenance"), F.coalesce("text", F.lit("")).alias("text"))
-        results = inspect_segments(segments)
-        item_verdicts(results, keys).withColumn("status", F.lit("DONE")).write.mode("overwrite").parquet(f"{out}/verdicts/batch={number}")
-        findings(results, keys).write.mode("overwrite").parquet(f"{out}/findings/batch={number}")
+        results = inspect_segments(segments).persist()  # both tables come from one run of the gates
+        try:
+            item_verdicts(results, keys, status=True).write.mode("overwrite").parquet(f"{out}/verdicts/batch={number}")
+            findings(results, keys).write.mode("overwrite").parquet(f"{out}/findings/batch={number}")
+        finally:
+            results.unpersist()
 
     writer = items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
