@@ -32,7 +32,9 @@ ANY_REMOVED = "".join([fixed.BIDI, fixed.BIDI_MARK, fixed.ZERO_WIDTH, fixed.TAG,
 #: Cf, Cc, Co and Cn without the classes above and the white space that may stay.
 OTHER_INVISIBLE = rf"[[\p{{Cf}}\p{{Cc}}\p{{Co}}\p{{Cn}}]&&[^{ANY_REMOVED}{fixed.ALLOWED_SPACE}]]"
 REMOVED = rf"[{ANY_REMOVED}[\p{{Cf}}\p{{Cc}}\p{{Co}}\p{{Cn}}&&[^{fixed.ALLOWED_SPACE}]]]"
-LETTER_RUN = r"[\p{L}\p{Nl}\p{No}]+"
+#: A word with a letter or number beyond plain Latin; a plain word is passed over in one step.
+_PLAIN_LETTER = r"A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\x{24F}"
+ODD_WORD = rf"(?<![{_PLAIN_LETTER}])[{_PLAIN_LETTER}]*+[[\p{{L}}\p{{Nl}}\p{{No}}]&&[^{_PLAIN_LETTER}]][\p{{L}}\p{{Nl}}\p{{No}}]*+"
 LATIN = rf"[\p{{IsLatin}}&&[^{fixed.NOT_NAMED_LATIN}]]"
 CYRILLIC = r"\p{IsCyrillic}"
 GREEK = r"[\p{IsGreek}\p{IsCoptic}]"
@@ -41,8 +43,9 @@ OTHER_LETTER = rf"[\p{{L}}&&[^{LATIN}{CYRILLIC}{GREEK}]]"
 NOT_LATIN = rf"[{CYRILLIC}{GREEK}{OTHER_LETTER}]"
 #: The cheapest of tests: a text without such a character has nothing invisible, one script and canonical form.
 BEYOND_PLAIN = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\xAA\xAD\xBA\x{250}-\x{10FFFF}]"
-BEYOND_LATIN = r"[^\x00-\xA9\xAB-\xB9\xBB-\x{24F}]"
-CONTROL_OR_BEYOND = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\xAD]|[^\x00-\x{2FF}]"
+#: Runs of characters that never count as invisible.
+PLAIN_RUN = r"[\t\n\r\x20-\x7E\xA0-\xAC\xAE-\x{2FF}]+"
+BEYOND_LATIN = r"[\xAA\xBA\x{250}-\x{10FFFF}]"
 
 
 def loose(pattern: str, ignore_case: bool = False) -> str:

@@ -41,23 +41,24 @@ def longest_run(text: Column, members: str) -> Column:
     return F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0))
 
 
-def letter_runs(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(patterns.LETTER_RUN), F.lit(0))
+def odd_words(text: Column) -> Column:
+    """The letter runs that aren't plain Latin throughout: all that can be of mixed scripts."""
+    return F.regexp_extract_all(text, F.lit(patterns.ODD_WORD), F.lit(0))
 
 
-def homoglyphs(text: Column) -> Column:
-    """Words that mix Latin with Cyrillic or Greek letters."""
-    return F.filter(letter_runs(text), lambda w: w.rlike(patterns.NOT_LATIN) & w.rlike(patterns.LATIN) & (w.rlike(patterns.CYRILLIC) | w.rlike(patterns.GREEK)))
+def homoglyphs(words: Column) -> Column:
+    """Of some words, those that mix Latin with Cyrillic or Greek letters."""
+    return F.filter(words, lambda w: w.rlike(patterns.NOT_LATIN) & w.rlike(patterns.LATIN) & (w.rlike(patterns.CYRILLIC) | w.rlike(patterns.GREEK)))
 
 
-def other_mixes(text: Column) -> Column:
-    """Words of two scripts or more that are no homoglyphs; all other scripts are one."""
+def other_mixes(words: Column) -> Column:
+    """Of some words, those of two scripts or more that are no homoglyphs; all other scripts are one."""
 
     def mixed(w: Column) -> Column:
         scripts = sum((w.rlike(p).cast("int") for p in (patterns.LATIN, patterns.CYRILLIC, patterns.GREEK, patterns.OTHER_LETTER)), F.lit(0))
         return w.rlike(patterns.NOT_LATIN) & (scripts > 1) & ~(w.rlike(patterns.LATIN) & (w.rlike(patterns.CYRILLIC) | w.rlike(patterns.GREEK)))
 
-    return F.filter(letter_runs(text), mixed)
+    return F.filter(words, mixed)
 
 
 def is_blank(text: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidegate.functions import fixed, patterns
-from tidegate.functions.text import count_class, entropy_bits, first_place, homoglyphs, hot_windows, let, letter_runs, longest_run, other_mixes
+from tidegate.functions.text import count_class, entropy_bits, first_place, homoglyphs, hot_windows, let, longest_run, odd_words, other_mixes
 from tidegate.functions.udf import vectorised
 from tidegate.functions.verdicts import bucket
 
@@ -57,7 +57,10 @@ def _found(findings: list[Column]) -> Column:
 def invisible_findings(text: Column) -> Column:
     """Findings of characters that don't show; the counts are worked out once."""
     classes = {"bidi": fixed.BIDI, "tag": fixed.TAG, "zero": fixed.ZERO_WIDTH, "mark": fixed.BIDI_MARK, "variation": fixed.VARIATION}
-    counts = F.struct(*(count_class(text, m).alias(k) for k, m in classes.items()), F.regexp_count(text, F.lit(patterns.OTHER_INVISIBLE)).alias("other"), longest_run(text, fixed.ZERO_WIDTH).alias("run"), F.length(text).alias("size"))
+
+    def counts(thin: Column) -> Column:
+        return F.struct(*(count_class(thin, m).alias(k) for k, m in classes.items()), F.regexp_count(thin, F.lit(patterns.OTHER_INVISIBLE)).alias("other"), longest_run(thin, fixed.ZERO_WIDTH).alias("run"), F.length(text).alias("size"))
+
     at = lambda members: first_place(text, f"[{members}]")
 
     def report(n: Column) -> Column:
@@ -73,7 +76,8 @@ def invisible_findings(text: Column) -> Column:
             _finding(n["variation"] >= fixed.VARIATION_MIN, "VARIATION_SELECTORS", "MEDIUM", n["variation"], fixed.DETAIL["VARIATION_SELECTORS"], at(fixed.VARIATION)),
         ])
 
-    return F.when(text.rlike(patterns.CONTROL_OR_BEYOND) & text.rlike(patterns.REMOVED), let(counts, report)).otherwise(F.array().cast(f"array<{FINDING}>"))
+    none = F.array().cast(f"array<{FINDING}>")
+    return let(F.regexp_replace(text, patterns.PLAIN_RUN, " "), lambda thin: F.when(thin.rlike(patterns.REMOVED), let(counts(thin), report)).otherwise(none))
 
 
 def script_findings(text: Column) -> Column:
@@ -90,8 +94,8 @@ def script_findings(text: Column) -> Column:
             _finding(F.size(w["mixes"]) > 0, "MIXED_SCRIPT_OTHER", "LOW", F.size(w["mixes"]), fixed.DETAIL["MIXED_SCRIPT_OTHER"], None, samples(w["mixes"])),
         ])
 
-    words = F.struct(homoglyphs(text).alias("spoofs"), other_mixes(text).alias("mixes"))
-    return F.when(text.rlike(patterns.BEYOND_LATIN) & text.rlike(patterns.NOT_LATIN), let(words, report)).otherwise(F.array().cast(f"array<{FINDING}>"))
+    mixed = let(odd_words(text), lambda words: F.struct(homoglyphs(words).alias("spoofs"), other_mixes(words).alias("mixes")))
+    return F.when(text.rlike(patterns.BEYOND_LATIN), let(mixed, report)).otherwise(F.array().cast(f"array<{FINDING}>"))
 
 
 @vectorised("boolean")
@@ -275,4 +279,4 @@ def segment_findings(text: Column) -> Column:
     return F.concat(_found([mark_finding(marked)]), character_findings(body))
 
 
-__all__ = ["FINDING", "character_findings", "segment_findings", "byte_findings", "encoded_findings", "blob_finding", "letter_runs"]
+__all__ = ["FINDING", "character_findings", "segment_findings", "byte_findings", "encoded_findings", "blob_finding"]

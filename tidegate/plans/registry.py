@@ -69,13 +69,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planted(spread(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+    return spread(planted(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as jobs, turns as items."""
-    rows = spread(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).withColumn("n", F.col("conv_id") * 7 + F.col("turn"))
-    return planted(rows, "n").select("conv_id", "turn", "text")
+    rows = _table(spark, sf_dir, "conversations").withColumn("n", F.col("conv_id") * 7 + F.col("turn"))
+    return spread(planted(rows, "n").select("conv_id", "turn", "text"))
 
 
 TURNS = f"d AS (SELECT conv_id, turn, {_planted_sql('(conv_id * 7 + turn)')} AS t FROM conversations)"
@@ -133,8 +133,9 @@ GENERIC_SQL = f"{DOCS}, c AS (SELECT doc_id, {_OTHER} AS n FROM d) SELECT doc_id
 
 
 def homoglyph_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return _docs(spark, sf_dir).select("doc_id", F.size(text.homoglyphs(t)).cast("long").alias("n_spoofed"), F.size(text.other_mixes(t)).cast("long").alias("n_mixed"), F.array_join(F.slice(text.homoglyphs(t), 1, fixed.MAX_SAMPLES), "; ").alias("samples"))
+    words = _docs(spark, sf_dir).select("doc_id", text.odd_words(F.col("text")).alias("words"))
+    spoofed = words.select("doc_id", text.homoglyphs(F.col("words")).alias("spoofs"), text.other_mixes(F.col("words")).alias("mixes"))
+    return spoofed.select("doc_id", F.size("spoofs").cast("long").alias("n_spoofed"), F.size("mixes").cast("long").alias("n_mixed"), F.array_join(F.slice("spoofs", 1, fixed.MAX_SAMPLES), "; ").alias("samples"))
 
 
 # Scripts by class; letters of the Latin script that are not named so count as others.

@@ -192,10 +192,11 @@ def stage_batch(files: DataFrame | None, texts: DataFrame | None) -> DataFrame:
 def spread(rows: DataFrame) -> DataFrame:
     """Rows of a scan of a few splits dealt over all cores, for work that costs far more than the shuffle.
 
-    A scan with at least a quarter as many splits as there are cores stays as it is.
+    Such splits can be empty, as a file of one row group is read by one of its splits. A scan with more
+    splits than there are cores stays as it is.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if 4 * rows.rdd.getNumPartitions() <= cores else rows
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() <= cores else rows
 
 
 def segments_of(items: DataFrame, keys: list[str]) -> DataFrame:
