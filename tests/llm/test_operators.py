@@ -14,7 +14,7 @@ import public_tokenizers
 import xxhash
 
 from tests.llm.fixtures import empty_documents, hard_documents, hard_rows, rows_of, with_clashes
-from tidegate.llm import bpe, exact_dedup, lattice_lm, packing, qda, quality_rules, secrets, simhash, warc
+from tidegate.llm import bpe, common, exact_dedup, lattice_lm, packing, qda, quality_rules, secrets, simhash, warc
 
 WORD_BPE, BYTE_BPE, PIECES = map(public_tokenizers.path, ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -79,7 +79,7 @@ def test_exact_dedup_goes_through_its_index(spark, docs, monkeypatch):
 
 def test_a_hot_group_and_a_full_index(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "LIVE_PER_TASK", 3)
-    monkeypatch.setattr(exact_dedup, "HOT", 5)
+    monkeypatch.setattr(common, "HOT", 5)
     rows = [(i, "Hot Text" if i % 3 else f"text {i % 12}") for i in range(120)] + [(None, "hot text")] * 30
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     groups = defaultdict(list)

@@ -18,11 +18,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a
-    temporary folder is made, and kept for the life of the session.
+    A cluster names it in ``spark.checkpoint.dir``, and must. Only where all of Spark runs on one machine
+    (tests, a laptop) a temporary folder is made instead, and kept for the life of the session.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidegate-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -50,6 +52,22 @@ def partitions_for(spark: SparkSession, rows: int, per_task: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task), 1)
 
 
+#: A group that holds over one in so many rows is hot; there are no more than this many.
+HOT = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the one row of ``groups`` that has their key; ``n`` says how many rows a group has.
+
+    Hot groups, ``HOT`` at most, are broadcast to where the rows are, so no task gets all rows of one.
+    """
+    hot = groups.filter(F.col(n) > rows.count() // HOT)
+    if hot.isEmpty():
+        return rows.join(groups, key, how)
+    hot = F.broadcast(hot)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(groups, key, how))
+
+
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 

@@ -26,15 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import materialise, partitions_for, text_bytes
+from tidegate.llm.common import join_groups, materialise, partitions_for, text_bytes
 
 SLOTS = 4
 MAX_KICKS = 200
 #: Live digests after which a task passes on what it has, to the shards; theirs hold all that they are dealt.
 LIVE_PER_TASK = 400_000
 ROWS_PER_SHARD = 200_000
-#: A group with over one in so many rows is hot; there are no more than this many.
-HOT = 1000
 
 
 class CuckooIndex:
@@ -212,12 +210,8 @@ def groups(keyed: DataFrame) -> DataFrame:
 
 def _members(keyed: DataFrame, repeated: DataFrame) -> DataFrame:
     """The rows of ``keyed`` in the groups ``repeated``, with what the index holds of them."""
-    hot = repeated.filter(F.col("n") > keyed.count() // HOT)
     kept = repeated.select("digest", "best", F.col("at").alias("best_at"), F.col("raw").alias("best_raw"), "same", "n")
-    if hot.isEmpty():
-        return keyed.join(kept, "digest")
-    hot = F.broadcast(kept.join(hot.select("digest"), "digest", "left_semi"))  # at most HOT rows
-    return keyed.join(hot, "digest").unionByName(keyed.join(hot, "digest", "left_anti").join(kept, "digest"))
+    return join_groups(keyed, kept, "digest", "n")
 
 
 def _lowered(text: Column) -> Column:

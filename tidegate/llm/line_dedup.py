@@ -4,8 +4,9 @@ Lines (split at line feeds, with a word; null text has none) are compared as cod
 least ``MIN_CHARS`` characters link when at most ``EDITS`` insertions, deletions or substitutions turn
 one into the other, a similarity of 0.9 or more; shorter lines are equal or not. A class is all lines
 linked directly or through others; its representative, the one with the smallest first document (then
-by bytes), stays. Repeated rows and repeated lines count as occurrences; an empty table gives an empty
-result; extra columns are ignored.
+by its SHA-256), stays. Repeated rows and repeated lines count as occurrences; an empty table gives an empty
+result; extra columns are ignored. A very long line is compared like any other; its work grows with its
+length.
 
 * Equal lines meet first: tasks pack their distinct lines by bucket, and a bucket's lines are written
   once, with a number each, to a table bucketed the same way.
@@ -23,17 +24,19 @@ signature leave the task.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import blocks, materialise, partitions_for, text_bytes
+from tidegate.llm.common import blocks, join_groups, materialise, partitions_for, text_bytes
 from tidegate.llm.simhash import components
 
 EDITS = 2
@@ -43,6 +46,8 @@ BUCKET_BYTES = 16_000_000
 #: Spark's own limit on the buckets of a table.
 MAX_BUCKETS = 100_000
 KEYS_PER_TASK = 2_000_000
+#: Text whose keys are made at once.
+KEY_BYTES = 2_000_000
 #: Candidates of one segment that are compared at once.
 SLICE = 2048
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -87,22 +92,25 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return next((k for k in range(most + 1) if reach[k] & goal), most + 1)
 
 
-def segments(length: int, edits: int) -> list[tuple[int, int]]:
-    """Start and length of the edits + 1 segments of a line; the later ones get the characters left over."""
+def segment(length: np.ndarray, k: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of segment k of the edits + 1 of a line; the later ones get the characters left over."""
     parts = edits + 1
-    short, longer = divmod(length, parts)
-    sizes = [short] * (parts - longer) + [short + 1] * longer
-    return list(zip(np.cumsum([0, *sizes[:-1]]).tolist(), sizes))
+    short, longer = np.divmod(length, parts)
+    before = parts - longer
+    return k * short + np.maximum(k - before, 0), short + (k >= before)
 
 
-def probe_places(length: int, indexed: int, edits: int) -> list[tuple[int, int, int]]:
-    """(segment, start, size) of the substrings of a line of ``length`` that can equal a segment of a line of ``indexed`` characters."""
-    gap, out = length - indexed, []
-    for k, (start, size) in enumerate(segments(indexed, edits)):
-        low = max(start - k, start + gap - (edits - k), 0)
-        high = min(start + k, start + gap + (edits - k), length - size)
-        out += [(k, p, size) for p in range(low, high + 1)]
-    return out
+def probes(edits: int) -> list[tuple[int, int, int]]:
+    """(gap, segment, shift): a line that is ``gap`` longer can have the segment, unchanged, that far from its place there.
+
+    At most k edits are left of segment k and edits - k right of it, or the segment before or after it is the one to meet by.
+    """
+    return [
+        (gap, k, shift)
+        for gap in range(edits + 1)
+        for k in range(edits + 1)
+        for shift in range(max(-k, gap - (edits - k)), min(k, gap + (edits - k)) + 1)
+    ]
 
 
 # ---- distinct lines
@@ -126,11 +134,12 @@ def _packed_lines(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
             by_bucket: dict[int, list[bytes]] = {}
             for line in seen:
                 by_bucket.setdefault(xxhash.xxh64_intdigest(line, 7) % buckets, []).append(line)
+            pack = zstandard.ZstdCompressor(level=1).compress
             if by_bucket:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(list(by_bucket), pa.int32()),
-                        pa.array([zlib.compress(b"\n".join(lines), 1) for lines in by_bucket.values()], pa.binary()),
+                        pa.array([pack(b"\n".join(lines)) for lines in by_bucket.values()], pa.binary()),
                         pa.array([[seen[x][0] for x in lines] for lines in by_bucket.values()], pa.list_(pa.int64())),
                         pa.array([[seen[x][1] for x in lines] for lines in by_bucket.values()], pa.list_(pa.int64())),
                     ],
@@ -141,10 +150,11 @@ def _packed_lines(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
 def _merged_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct lines of each bucket, numbered: the bucket, then the place in it."""
     held: dict[int, dict[bytes, list]] = {}
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         for bucket, packed, counts, docs in zip(*(batch.column(k).to_pylist() for k in range(4))):
             lines = held.setdefault(bucket, {})
-            for line, n, doc in zip(zlib.decompress(packed).split(b"\n"), counts, docs):
+            for line, n, doc in zip(unpack(packed).split(b"\n"), counts, docs):
                 found = lines.get(line)
                 if found is None:
                     lines[line] = [n, doc]
@@ -167,8 +177,8 @@ def _merged_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
-def distinct_lines(docs: DataFrame) -> tuple[DataFrame, int]:
-    """bucket, id, doc_id (the first), n, line of every distinct line, in a table bucketed by bucket; and the number of buckets."""
+def distinct_lines(docs: DataFrame) -> tuple[DataFrame, str]:
+    """bucket, id, doc_id (the first), n, line of every distinct line, in a table bucketed by bucket; and the table's name, to drop it by."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -177,7 +187,7 @@ def distinct_lines(docs: DataFrame) -> tuple[DataFrame, int]:
     lines = packed.repartition(buckets, "bucket").mapInArrow(_merged_lines, "bucket int, id long, doc_id long, n long, line binary")
     name = f"tidegate_lines_{uuid.uuid4().hex}"
     lines.write.bucketBy(buckets, "bucket").option("compression", "zstd").saveAsTable(name)
-    return spark.table(name), buckets
+    return spark.table(name), name
 
 
 # ---- candidates
@@ -196,36 +206,39 @@ def line_keys(lines: list[str], ids: np.ndarray, edits: int) -> tuple[np.ndarray
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
     starts = np.concatenate(([0], np.cumsum(sizes)))
     signature = _signatures(np.repeat(np.arange(len(lines)), sizes), codes, len(lines))
-    power = np.ones(int(sizes.max(initial=0)) + 1, np.uint64)
-    np.multiply.accumulate(np.full(len(power) - 1, _BASE), out=power[1:])
     # Prefix hashes over the joined lines, in log steps; a substring's hash doesn't depend on its place.
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    down = np.ones(len(codes) + 1, np.uint64)
-    np.multiply.accumulate(np.full(len(codes), inverse), out=down[1:])
-    up = np.ones(len(codes) + 1, np.uint64)
-    np.multiply.accumulate(np.full(len(codes), _BASE), out=up[1:])
-    prefix = np.concatenate(([np.uint64(0)], np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * down[:-1], dtype=np.uint64)))
+    up, down = _powers(len(codes) + 1)
+    prefix = np.concatenate(([np.uint64(0)], np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * down[: len(codes)], dtype=np.uint64)))
     out = []
-    for length in np.unique(sizes):
-        rows = np.flatnonzero(sizes == length)
-        length = int(length)
-        seats = {(length, k, p): (size, 0) for k, (p, size) in enumerate(segments(length, edits))}
-        for indexed in range(max(length - edits, MIN_CHARS), length + 1):
-            for k, p, size in probe_places(length, indexed, edits):
-                seats[indexed, k, p] = (size, 2 if (indexed, k, p) in seats else 1)
-        for (indexed, k, p), (size, role) in seats.items():
-            first = starts[rows] + p
-            h = (prefix[first + size] - prefix[first]) * up[first]
-            h = (h ^ np.uint64(indexed * 64 + k)) * np.uint64(0xD6E8FEB86659FD93)
-            out.append((h ^ h >> np.uint64(32), ids[rows], signature[rows], np.full(len(rows), role, np.uint8)))
+    for gap, k, shift in probes(edits):
+        indexed = sizes - gap
+        start, size = segment(indexed, k, edits)
+        start = start + shift
+        rows = np.flatnonzero((indexed >= MIN_CHARS) & (start >= 0) & (start + size <= sizes))
+        first = starts[rows] + start[rows]
+        h = (prefix[first + size[rows]] - prefix[first]) * up[first]
+        h = (h ^ (indexed[rows] * 64 + k).astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+        out.append((h ^ h >> np.uint64(32), ids[rows], signature[rows], np.full(len(rows), 2 if gap == shift == 0 else 1, np.uint8)))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+_power: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base and of its inverse, kept in the process; blocks bound their number."""
+    if len(_power[0]) < n:
+        for which, base in enumerate((_BASE, np.uint64(pow(int(_BASE), -1, 1 << 64)))):
+            _power[which] = np.ones(n, np.uint64)
+            np.multiply.accumulate(np.full(n - 1, base), out=_power[which][1:])
+    return _power[0], _power[1]
+
+
 def _key_rows(batches: Iterator[pa.RecordBatch], groups: int, edits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy()
         texts = batch.column(1).to_pylist()
-        for a, b in blocks([len(t) for t in texts], 4_000_000):
+        for a, b in blocks([len(t) for t in texts], KEY_BYTES):
             lines = [t.decode("utf-8", "replace") for t in texts[a:b]]
             long = [k for k, x in enumerate(lines) if len(x) >= MIN_CHARS]
             if not long:
@@ -335,23 +348,62 @@ def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     return materialise(second, "lines-links")
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """A row for each distinct line: doc_id (the first with it), line_sha256, n_chars, n_rows, n_links, class_doc_id and class_sha256 (of the representative), kept."""
-    lines, _ = distinct_lines(docs)
+def _marked(lines: DataFrame, edits: int) -> DataFrame:
+    """id, doc_id, n, sha, n_links, class_doc_id, class_sha, kept of the distinct lines that come twice or have a link; the others are classes of their own."""
     links = line_links(lines, edits)
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     degree = both.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("n_links"))
-    roots = materialise(components(links), "lines-roots")
+    linked = materialise(degree.join(components(links).select(F.col("code").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "lines-linked")
+    some = lines.join(linked, "id", "left").filter("n > 1 OR n_links IS NOT NULL")
+    some = materialise(some.select("id", "doc_id", "n", F.unhex(F.sha2("line", 256)).alias("sha"), "n_links", "root"), "lines-some")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "sha")).alias("best")
+    best = materialise(some.filter("root IS NOT NULL").groupBy("root").agg(first), "lines-best")
+    named = some.join(best, "root", "left")
+    alone = F.col("best").isNull()
+    return named.select(
+        "id", "doc_id", "n", "sha", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("class_doc_id"),
+        F.coalesce("best.sha", "sha").alias("class_sha"), (alone | (F.col("best.sha") == F.col("sha"))).alias("kept"),
+    )
+
+
+def _hex(sha: Column) -> Column:
+    return F.lower(F.hex(sha))
+
+
+def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """A row for each distinct line: doc_id (the first with it), line_sha256, n_chars, n_rows, n_links, class_doc_id and class_sha256 (of the representative), kept."""
+    lines, table = distinct_lines(docs)
+    marked = _marked(lines, edits).select("id", "n_links", "class_doc_id", _hex(F.col("class_sha")).alias("class_sha256"), "kept")
     facts = lines.select("id", "doc_id", "n", F.sha2("line", 256).alias("line_sha256"), F.length(F.col("line").cast("string")).alias("n_chars"))
-    linked = materialise(facts.join(degree, "id").join(roots.select(F.col("code").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "lines-linked")
-    best = materialise(linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "line_sha256")).alias("best")), "lines-best")
-    named = linked.join(best, "root").select("id", "n_links", F.col("best.doc_id").alias("class_doc_id"), F.col("best.line_sha256").alias("class_sha256"))
-    rows = facts.join(named, "id", "left")
-    return rows.select(
+    rows = facts.join(marked, "id", "left")
+    rows = rows.select(
         "doc_id", "line_sha256", F.col("n_chars").cast("long").alias("n_chars"), F.col("n").alias("n_rows"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_doc_id")).alias("class_doc_id"), F.coalesce("class_sha256", "line_sha256").alias("class_sha256"),
-        F.coalesce(F.col("class_sha256") == F.col("line_sha256"), F.lit(True)).alias("kept"),
+        F.when(F.col("class_sha256").isNull(), F.col("doc_id")).otherwise(F.col("class_doc_id")).alias("class_doc_id"), F.coalesce("class_sha256", "line_sha256").alias("class_sha256"),
+        F.coalesce("kept", F.lit(True)).alias("kept"),
     )
+    rows = materialise(rows, "lines-classes")
+    docs.sparkSession.sql(f"DROP TABLE {table}")
+    return rows
+
+
+MEMBERS = "doc_id long, row long, text_key long, line_no int, n_chars long, sha binary"
+
+
+def _member_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each line with a word of each row, numbered."""
+    row = TaskContext.get().partitionId() << 36
+    for batch in batches:
+        ids, texts, keys = (batch.column(k).to_pylist() for k in range(3))
+        for a, b in blocks([len(t) for t in texts], BLOCK_BYTES):
+            out = []
+            for doc, text, key in zip(ids[a:b], texts[a:b], keys[a:b]):
+                for place, line in enumerate(text.split(b"\n")):
+                    if line.strip(_WORD_SPACE):
+                        out.append((doc, row, key, place, len(line.decode("utf-8", "replace")), hashlib.sha256(line).digest()))
+                row += 1
+            if out:
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "row", "text_key", "line_no", "n_chars", "sha"])
 
 
 def line_members(docs: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -359,14 +411,24 @@ def line_members(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 
     Only a representative's first place is kept: its first document, there (ids may repeat) the first line, then the first text.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
-    each = texts.select("doc_id", "row", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    each = each.filter(F.octet_length(F.regexp_replace("line", r"[ \t\x0B\x0C\r]", "")) > 0)
-    members = materialise(each.select("doc_id", "row", "text_key", "line_no", F.unhex(F.sha2(F.col("line").cast("binary"), 256)).alias("sha")), "lines-members")
-    first = members.groupBy("sha").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "line_no", "text_key", "row")).alias("first"))
-    facts = line_classes(docs, edits).drop("doc_id").withColumn("sha", F.unhex("line_sha256")).join(first, "sha")
-    place = (F.col("row") == F.col("first.row")) & (F.col("line_no") == F.col("first.line_no"))
-    return members.join(facts, "sha").select("doc_id", "line_no", "line_sha256", "n_chars", "n_rows", "n_links", "class_doc_id", "class_sha256", (F.col("kept") & place).alias("kept"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), F.xxhash64(text_bytes()).alias("text_key"))
+    members = materialise(texts.mapInArrow(_member_rows, MEMBERS), "lines-members")
+    lines, table = distinct_lines(docs)
+    marked = _marked(lines, edits).select("sha", F.col("n").alias("n_rows"), "n_links", F.col("class_doc_id").alias("of_doc"), "class_sha", F.col("kept").alias("stays"))
+    # Most lines come once and have no link: they find nothing here and are what they are.
+    marked = materialise(marked, "lines-marked")
+    docs.sparkSession.sql(f"DROP TABLE {table}")
+    rows = materialise(join_groups(members, marked, "sha", "n_rows", "left"), "lines-rows")
+    shared = (F.col("n_rows") > 1) & F.col("stays")
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "line_no", "text_key", "row")
+    first = materialise(rows.filter(shared).groupBy("sha").agg(F.min(place).alias("first"), F.count("*").alias("n_shared")), "lines-first")
+    seated = join_groups(rows.filter(shared), first, "sha", "n_shared").withColumn("kept", (F.col("row") == F.col("first.row")) & (F.col("line_no") == F.col("first.line_no"))).drop("first", "n_shared")
+    others = rows.filter(~F.coalesce(shared, F.lit(False))).withColumn("kept", F.coalesce("stays", F.lit(True)))
+    own = F.col("n_rows").isNull()
+    return seated.unionByName(others).select(
+        "doc_id", "line_no", _hex(F.col("sha")).alias("line_sha256"), "n_chars", F.coalesce("n_rows", F.lit(1)).alias("n_rows"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.when(own, F.col("doc_id")).otherwise(F.col("of_doc")).alias("class_doc_id"), _hex(F.coalesce("class_sha", "sha")).alias("class_sha256"), "kept",
+    )
 
 
 def drop_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -375,7 +437,7 @@ def drop_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = materialise(rows, "lines-rows")
     each = rows.select("__row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).withColumn("__sha", F.sha2(F.col("line").cast("binary"), 256))
-    worded = F.octet_length(F.regexp_replace("line", r"[ \t\x0B\x0C\r]", "")) > 0
+    worded = F.col("line").rlike(r"[^ \t\x0B\x0C\r]")
     place = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").cast("long").alias("doc_id"), "at", "__row")
     first = each.filter(worded).groupBy("__sha").agg(F.min(place).alias("__first"))
     here = (F.col("__row") == F.col("__first.__row")) & (F.col("at") == F.col("__first.at"))
