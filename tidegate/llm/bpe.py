@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import blocks
+from tidegate.llm.common import begin, blocks, worker_table
 
 #: Splits a text before the merges; it belongs to the vocabulary.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -270,7 +270,7 @@ class Encoder:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = worker_table()
 
 
 def encoder(path: str) -> Encoder:
@@ -281,6 +281,7 @@ def encoder(path: str) -> Encoder:
 
 
 def _rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    begin(_encoders)
     codec = encoder(path)
     for batch in batches:
         texts = batch.column(1).to_pylist()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -42,6 +43,29 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_tables: list[dict] = []
+
+
+def worker_table() -> dict:
+    """A table that an operator keeps in the worker process, until another operator's task begins there."""
+    _tables.append({})
+    return _tables[-1]
+
+
+def begin(own: dict | None = None) -> None:
+    """At the start of a task in a worker process: the tables of other operators go, and free memory goes back to the system."""
+    gone = False
+    for table in _tables:
+        if table is not own and table:
+            table.clear()
+            gone = True
+    if gone or own is None:
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 def text_bytes(name: str = "text") -> Column:
     """A text column as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
@@ -68,6 +92,37 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str, how: str =
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(groups, key, how))
 
 
+#: Rows of a few numbers, 16 MB or so, up to which a table is broadcast.
+FEW = 500_000
+
+
+def few(table: DataFrame) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if its rows are counted to be few; else it is shuffled like any other."""
+    return F.broadcast(table) if table.count() <= FEW else table
+
+
+def row_key(doc_id: Column, raw: Column) -> Column:
+    """What a row is known by: its id, null or not, and the hash of its text."""
+    doc_id = doc_id.cast("long")
+    return F.struct(doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("id"), raw.alias("raw")).alias("__tg_key")
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, again: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose key is in ``gone``; of rows whose key is in ``again``, one stays, that with the smallest hash of all columns.
+
+    Both have ``__tg_key`` once each and come from the shared folder; where they are few the texts stay where they are.
+    """
+    gone = few(gone)
+    rows = docs.withColumn("__tg_key", row_key(F.col("doc_id"), F.xxhash64(text_bytes()))).join(gone, "__tg_key", "left_anti")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    if again.isEmpty():
+        return rows.select(*names)
+    one = Window.partitionBy("__tg_key").orderBy(F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() != "map"]))
+    again = few(again)
+    twice = rows.join(again, "__tg_key", "left_semi").withColumn("__tg_row", F.row_number().over(one)).filter("__tg_row = 1")
+    return rows.join(again, "__tg_key", "left_anti").select(*names).unionByName(twice.select(*names))
+
+
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 

@@ -23,10 +23,10 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import join_groups, materialise, partitions_for, text_bytes
+from tidegate.llm.common import begin, few, join_groups, materialise, partitions_for, row_key, text_bytes, without_rows
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -173,11 +173,13 @@ def _to_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    begin()
     each = ((*row, 1, 1) for b in batches for row in zip(*(b.column(k).to_pylist() for k in range(5))))
     yield from _to_batches(index_groups(each, LIVE_PER_TASK))
 
 
 def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    begin()
     yield from _to_batches(index_groups(row for b in batches for row in zip(*(b.column(k).to_pylist() for k in range(7)))))
 
 
@@ -185,6 +187,7 @@ DIGESTS = "digest binary, length long, doc_id long, at long, raw long"
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    begin()
     at = TaskContext.get().partitionId() << 36
     for batch in batches:
         texts = [t.lower() for t in batch.column(2).to_pylist()]  # bytes.lower() changes A-Z only
@@ -220,7 +223,7 @@ def _lowered(text: Column) -> Column:
 
 def verify_groups(docs: DataFrame, members: DataFrame) -> None:
     """Compare the texts of each group that the index found; raises where they differ."""
-    wanted = members.select("raw", "digest").distinct()
+    wanted = few(materialise(members.select("raw", "digest").distinct(), "exact-wanted"))
     texts = docs.select(F.xxhash64(text_bytes()).alias("raw"), "text").join(wanted, "raw").select("digest", _lowered(F.col("text")).alias("text"))
     # A least and a greatest text a group: summed up before the shuffle, however hot the group.
     apart = texts.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).filter("a <> b")
@@ -254,15 +257,7 @@ def keep_exact(docs: DataFrame) -> DataFrame:
     """
     _, _, members = _found(docs)
     stays = F.col("doc_id").eqNullSafe(F.col("best")) & (F.col("raw") == F.col("best_raw"))
-    pair = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "raw").alias("__tg_key")
+    pair = row_key(F.col("doc_id"), F.col("raw"))
     gone = materialise(members.filter(~stays).select(pair).distinct(), "exact-gone")
     again = materialise(members.filter(stays & (F.col("same") > 1)).select(pair).distinct(), "exact-again")
-    doc_id = F.col("doc_id").cast("long")
-    keyed = docs.withColumn("__tg_key", F.struct(doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.xxhash64(text_bytes()).alias("raw")))
-    rows = keyed.join(gone, "__tg_key", "left_anti")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    if again.isEmpty():
-        return rows.select(*names)
-    one = Window.partitionBy("__tg_key").orderBy(F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() != "map"]))
-    twice = rows.join(again, "__tg_key", "left_semi").withColumn("__tg_row", F.row_number().over(one)).filter("__tg_row = 1")
-    return rows.join(again, "__tg_key", "left_anti").select(*names).unionByName(twice.select(*names))
+    return without_rows(docs, gone, again)

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import materialise, partitions_for, text_bytes
+from tidegate.llm.common import materialise, partitions_for, text_bytes, worker_table
 
 HOLD_OUT, FOLDS = 2, 7
 BLOCK_BYTES = 12_000_000
@@ -197,7 +197,7 @@ def word_scores(words: list[str], pieces: Pieces, weights: np.ndarray) -> np.nda
     return out
 
 
-_loaded: dict[str, Pieces] = {}
+_loaded: dict[str, Pieces] = worker_table()
 
 
 def load(path: str) -> Pieces:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.llm.bpe import Table
-from tidegate.llm.common import blocks, materialise
+from tidegate.llm.common import begin, blocks, materialise, worker_table
 
 CAPACITY = 4096
 END_ID = 1
@@ -109,12 +109,13 @@ class Tokens:
         return [b"".join(map(get[x], ps)) for ps, x in zip(split, latin)]
 
 
-_models: dict[str, Tokens] = {}
+_models: dict[str, Tokens] = worker_table()
 
 PIECE = "pid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    begin(_models)
     if path not in _models:
         _models[path] = Tokens(path)
     end = END_ID.to_bytes(4, "little")
@@ -164,6 +165,7 @@ SWEPT = "kind int, id long, size long, task int, rank long, bin long"
 
 def _sweep_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document with the sequence it got, or with its rank among those left; slots left with theirs."""
+    begin()
     held = [b for b in batches if b.num_rows]
     if not held:
         return

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import blocks, text_bytes
+from tidegate.llm.common import begin, blocks, text_bytes
 
 MIN_WORDS = 10
 BASE_WINDOW = 5
@@ -147,6 +147,7 @@ _COLUMNS = {"n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    begin()
     for batch in batches:
         texts = batch.column(1).to_pylist()
         for a, b in blocks([len(t) for t in texts], BLOCK_BYTES):

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import blocks, materialise, partitions_for, text_bytes
+from tidegate.llm.common import begin, blocks, materialise, partitions_for, text_bytes
 
 SEED = 42
 FAN = 8
@@ -176,6 +176,7 @@ def _block_mask(block: int, sub: int) -> int:
 
 
 def _forest_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    begin()
     held = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
     if not held:
         return
@@ -248,6 +249,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _fingerprint_rows(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    begin()
     for batch in batches:
         codes = fingerprints(batch.column(1).to_pylist(), words)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes.view(np.int64))], names=["doc_id", "code"])
