@@ -263,3 +263,10 @@ def test_running_total_spreads_a_key(spark):
     df = spark.createDataFrame([("a", i, i) for i in range(100)] + [("b", i, 1) for i in range(7)], "k string, o long, v long")
     got = {(r["k"], r["o"]): r["running"] for r in jobs.running_total(df, "k", "o", "v", width=9).collect()}
     assert all(got["a", i] == i * (i + 1) // 2 for i in range(100)) and all(got["b", i] == i + 1 for i in range(7))
+
+
+def test_updates_leave_every_row_one(spark):
+    table = spark.createDataFrame([(1, "RUNNING", "PASS"), (1, "RUNNING", "BLOCK"), (2, "QUEUED", None), (None, "ERROR", "PASS")], "id int, status string, decision string")
+    changes = spark.createDataFrame([(1, "DONE", None), (1, "DONE", None), (2, "DONE", None), (2, None, "PASS"), (2, "ERROR", None), (None, "DONE", "BLOCK"), (3, "DONE", None)], "id int, status string, decision string")
+    got = sorted((tuple(r) for r in jobs.updated(table, changes, "id").collect()), key=repr)
+    assert got == [(1, "DONE", "BLOCK"), (1, "DONE", "PASS"), (2, "ERROR", "PASS"), (None, "ERROR", "PASS")]

@@ -51,9 +51,13 @@ def items_of(items: DataFrame, job_id: object, item_id: object | None = None) ->
 
 
 def updated(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """The table with the columns of ``changes`` set where a row has its key; a null keeps what there is."""
+    """The table with the columns of ``changes`` set where a row has its key; a null keeps what there is.
+
+    Every row stays one row. Changes of one key act one after another in the order of their values, nulls first.
+    """
     fields = [c for c in changes.columns if c != key]
-    new = changes.select(key, *(F.col(c).alias(f"__new_{c}") for c in fields))
+    place = F.struct(*fields)
+    new = changes.groupBy(key).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"__new_{c}") for c in fields))
     rows = table.join(new, key, "left")
     return rows.select(*(F.coalesce(f"__new_{c}", c).alias(c) if c in fields else c for c in table.columns))
 
