@@ -232,6 +232,13 @@ def test_merging_rows_and_arrays(spark):
         assert [tuple(x) for x in r["m"]] == plain_merge(sets[r["k"]])
 
 
+def test_merging_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(k, i, 5 * k, 5 * k + 9, False, code) for k in range(20) for i in (1, 2) for code in "BA"]
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, "k int, i int, s int, e int, mask boolean, code string").coalesce(1)
+        assert {(r["k"], r["code"]) for r in evidence.merge_spans(df, ["k"], ["i"]).collect()} == {(k, "A") for k in range(20)}
+
+
 TEXT = "DB host config: password=Sup3rSecret! for the migration. Candidate NRIC S7712345A is on file. Header still reads SECRET//NOFORN from the source draft. 😀 end"
 
 

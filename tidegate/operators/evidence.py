@@ -42,9 +42,9 @@ def locate_spans(text: pd.Series, codes: pd.Series) -> pd.Series:
 def merge_spans(spans: DataFrame, keys: list[str], tie: list[str] | None = None) -> DataFrame:
     """Overlapping or adjacent spans (s, e, mask, code) of a key as one; masked if any of them is, with the first one's code.
 
-    Windows over a key's spans; ``tie`` orders spans of equal start and end.
+    Windows over a key's spans; ``tie`` orders spans of equal start and end, the code those equal in that too.
     """
-    order = Window.partitionBy(*keys).orderBy("s", "e", *(tie or []))
+    order = Window.partitionBy(*keys).orderBy("s", "e", *(tie or []), "code")
     reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("s") <= reach, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     rows = spans.withColumn("__island", island).withColumn("__place", F.row_number().over(order))
