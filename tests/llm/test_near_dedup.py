@@ -79,3 +79,11 @@ def test_signatures_drop_no_link():
         assert out.num_rows or not near_dedup.linked(a, b)
         kept, dropped = kept + out.num_rows, dropped + (not out.num_rows)
     assert kept > 50 and dropped > 50
+
+
+def test_a_crowded_run_gives_a_forest_not_all_pairs():
+    base = np.arange(200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    sign = np.array([np.frombuffer(near_dedup.signature(np.append(base[k % 5 :], np.uint64(k))), np.uint64) for k in range(300)])
+    n = np.array([201 - k % 5 for k in range(300)])
+    count = lambda every: sum(len(a) for a, _ in near_dedup._forest(n, sign, np.arange(300), near_dedup.PIVOTS, every))
+    assert count(False) == 299 and count(True) == 300 * 299 // 2
